@@ -116,6 +116,31 @@ def class_pairs(sketches: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(verify, "a bigint, b bigint, similarity double")
 
 
+def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, min_words: int = 8, threshold: float = 0.5) -> DataFrame:
+    """(rec_id, group_id, links): the group of every row that has a near or exact copy.
+
+    Groups are the connected components of the links between different texts; links counts the different
+    texts that a row's text is linked to. Exact copies share their class and need no links among them.
+    """
+    prints = materialise(fingerprints(df, id_col, text_col, min_words))
+    pairs = materialise(class_pairs(prints.drop("rec").dropDuplicates(["cls"]), threshold))
+    both = pairs.select(F.col("a").alias("cls"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    links = both.groupBy("cls").agg(F.count("*").alias("links"), F.least(F.min("other"), F.col("cls")).alias("label"))
+    labels = materialise(links)
+    while True:
+        near = both.join(labels.select(F.col("cls").alias("other"), "label"), "other").groupBy("cls").agg(F.min("label").alias("near"))
+        step = labels.join(near, "cls").select("cls", "links", F.col("label").alias("old"), F.least("label", "near").alias("m"))
+        jump = labels.select(F.col("cls").alias("m"), F.col("label").alias("further"))
+        new = materialise(step.join(jump, "m", "left").select("cls", "links", "old", F.least("m", F.coalesce("further", "m")).alias("label")))
+        labels = new.select("cls", "links", "label")
+        if not new.where("old <> label").limit(1).count():
+            break
+    members = prints.select(F.col("rec").alias("rec_id"), "cls")
+    copies = members.groupBy("cls").agg(F.count("*").alias("n"))
+    found = members.join(copies, "cls").join(labels, "cls", "left").where("n > 1 or links is not null")
+    return found.select("rec_id", F.coalesce("label", "cls").alias("group_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+
+
 def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, min_words: int = 8, threshold: float = 0.5) -> DataFrame:
     """(rec_id_a, rec_id_b, similarity), rec_id_a < rec_id_b: all pairs of rows that reach the threshold.
 
