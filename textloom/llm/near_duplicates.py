@@ -1,18 +1,19 @@
 """Near-duplicate records with small edits, by multi-index hashing.
 
-Each text gets a fingerprint of ``SEGMENTS x WIDTH`` min-hash symbols; two texts of similarity *s* agree
-in each symbol with probability *s*. The fingerprint is cut into segments. For every segment the Hamming
-ball of radius 1 is enumerated: one key per symbol, with that symbol left out, so that two texts meet in a
-table if they differ in at most one symbol of a segment. Matches then have the *complete* Hamming distance
-of their fingerprints verified inside the join, before anything is emitted, and the survivors' exact
-similarity is computed from their shingle sets.
+Each text gets a fingerprint of min-hash symbols; two texts of similarity *s* agree in each symbol with
+probability *s*. The table part of the fingerprint is cut into ``SEGMENTS`` segments of ``WIDTH`` symbols. For
+every segment the Hamming ball of radius 1 is enumerated: one key per symbol, with that symbol left out, so
+that two texts meet in a table if they differ in at most one symbol of a segment. Matches have the Hamming
+distance of the verifying part (``CHECKS`` further symbols) tested inside the join, before anything is
+emitted, and the survivors' exact similarity is computed from their texts.
 
-With 12 segments of 4 symbols a pair of similarity 0.5 is missed by the tables with probability 0.011,
-one of 0.6 with 0.0004, one of 0.7 with 0.000002.
+With 9 segments of 4 symbols a pair of similarity 0.5 is missed by the tables with probability 0.034,
+one of 0.6 with 0.003, one of 0.7 with 0.00008; the distance test loses fewer than 3 in 1,000 at 0.5.
 
 Scale: exact copies are collapsed into classes first (a group of copies, however large, is one row from
 there on); keys are spread by hash over the shuffle partitions and hot keys are split by the adaptive
-skew join; no bucket is ever gathered into one task; no cap on partners.
+skew join; no bucket is ever gathered into one task; no cap on partners. Texts move once to be collapsed and
+once more for the pairs that passed the distance test.
 
 Defined results: null, empty and short texts (fewer than ``min_words`` words) are in no pair; repeated
 rows pair with each other (similarity 1); an empty table gives an empty result; columns other than the
@@ -31,10 +32,12 @@ from pyspark.sql import functions as F
 from textloom.llm import tokens
 from textloom.session import materialise
 
-SEGMENTS = 12
-WIDTH = 4
-#: Bits kept of each symbol for the complete distance.
-SYMBOL_BITS = 2
+SEGMENTS, WIDTH, CHECKS = 9, 4, 32
+#: Bits kept of each verifying symbol: 32 symbols of 4 bits are two 64-bit words.
+SYMBOL_BITS = 4
+#: Largest distance, in verifying symbols, of a match that is looked at further. A pair of similarity 0.5
+#: differs in 32 * 0.5 * 15/16 = 15 symbols on average with a standard deviation of 2.8, unrelated texts in 30.
+MAX_DISTANCE = 23
 
 
 def segment_keys(symbols: np.ndarray) -> np.ndarray:
@@ -54,7 +57,7 @@ def segment_keys(symbols: np.ndarray) -> np.ndarray:
 
 def packed_symbols(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The low bits of all symbols, packed into two 64-bit words."""
-    low = (symbols & ((1 << SYMBOL_BITS) - 1)).astype(np.uint64)
+    low = (symbols & np.uint32((1 << SYMBOL_BITS) - 1)).astype(np.uint64)
     per = 64 // SYMBOL_BITS
     words = []
     for part in (low[:, :per], low[:, per:]):
@@ -66,54 +69,58 @@ def packed_symbols(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def symbol_distance(left: str, right: str) -> str:
-    """SQL: in how many symbols two packed words differ."""
-    return f"bit_count((({left} ^ {right}) | shiftrightunsigned({left} ^ {right}, 1)) & 6148914691236517205L)"
+    """SQL: in how many 4-bit symbols two packed words differ."""
+    x = f"({left} ^ {right})"
+    return f"bit_count(({x} | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3)) & 1229782938247303441L)"
 
 
-#: Largest complete distance, in symbols, of a match that is looked at further. A pair of similarity 0.5
-#: differs in 48 * 0.5 * 3/4 = 18 symbols on average with a standard deviation of 3.4; unrelated texts in 36.
-MAX_DISTANCE = 29
+def with_class(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(rec, cls, text): the class of a text is the hash of its words; texts of too few words are left out."""
+    words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    listed = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("rec"), F.col(text_col).alias("text"), words.alias("w"))
+    return listed.where(F.size("w") >= min_words).select("rec", F.xxhash64("w").alias("cls"), "text")
 
 
-def fingerprints(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(rec, cls, keys, s0, s1, sh): fingerprint and sorted distinct shingle hashes of each text."""
+def class_texts(classed: DataFrame) -> DataFrame:
+    """(cls, text): one text of each class."""
+    return classed.groupBy("cls").agg(F.min("text").alias("text"))
+
+
+def keyed(texts: DataFrame) -> DataFrame:
+    """(k, cls, v0, v1): a row for each table key of each class, with the verifying symbols."""
+    n_keys = SEGMENTS * WIDTH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, at = tokens.hash_texts(batch.column(1).to_pylist())
             sh, starts = tokens.shingles(h, at)
-            keep = np.flatnonzero(np.diff(at) >= min_words)
-            symbols = tokens.minhashes(sh, starts, SEGMENTS * WIDTH)[keep]
-            s0, s1 = packed_symbols(symbols)
-            keys = segment_keys(symbols)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, SEGMENTS * WIDTH), pa.int32()), pa.array(keys.ravel()))
-            sets = [np.unique((sh[starts[i] : starts[i + 1]] >> np.uint64(32)).astype(np.uint32)).tobytes() for i in keep]
-            arrays = [batch.column(0).take(pa.array(keep)), pa.array(tokens.sequence_hash(h, at)[keep]), flat, pa.array(s0), pa.array(s1), pa.array(sets, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["rec", "cls", "keys", "s0", "s1", "sh"])
+            symbols = tokens.minhashes(sh, starts, n_keys + CHECKS)
+            v0, v1 = packed_symbols(symbols[:, n_keys:])
+            columns = [segment_keys(symbols[:, :n_keys]).ravel(), np.repeat(batch.column(0).to_numpy(), n_keys), np.repeat(v0, n_keys), np.repeat(v1, n_keys)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k", "cls", "v0", "v1"])
 
-    kind = dict(df.select(F.col(id_col).alias("rec")).dtypes)["rec"]
-    return df.select(F.col(id_col).alias("rec"), F.col(text_col).alias("t")).where("t is not null").mapInArrow(run, f"rec {kind}, cls bigint, keys array<bigint>, s0 bigint, s1 bigint, sh binary")
+    return texts.mapInArrow(run, "k bigint, cls bigint, v0 bigint, v1 bigint")
 
 
-def class_pairs(sketches: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity), a < b: pairs of different classes whose similarity reaches the threshold.
-
-    ``sketches`` has one row per class (cls, keys, s0, s1, sh) and is read three times; pass it materialised.
-    """
-    keyed = sketches.select(F.explode("keys").alias("k"), "cls", "s0", "s1")
-    distance = f"{symbol_distance('x.s0', 'y.s0')} + {symbol_distance('x.s1', 'y.s1')} <= {MAX_DISTANCE}"
-    near = keyed.alias("x").join(keyed.alias("y"), F.expr(f"x.k = y.k and x.cls < y.cls and {distance}")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    sets = sketches.select("cls", "sh")
-    both = near.join(sets.select(F.col("cls").alias("a"), F.col("sh").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("sh").alias("sb")), "b")
+def class_pairs(texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity), a < b: pairs of different classes whose similarity reaches the threshold."""
+    keys = keyed(texts)
+    distance = f"{symbol_distance('x.v0', 'y.v0')} + {symbol_distance('x.v1', 'y.v1')} <= {MAX_DISTANCE}"
+    near = keys.alias("x").join(keys.alias("y"), F.expr(f"x.k = y.k and x.cls < y.cls and {distance}")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+    left, right = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
+    both = near.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column("sa").to_pylist(), batch.column("sb").to_pylist()
-            value = np.array([tokens.jaccard(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(left, right)], np.float64)
+            sets = []
+            for name in ("ta", "tb"):
+                sh, at = tokens.shingles(*tokens.hash_texts(batch.column(name).to_pylist()))
+                sets.append([np.unique(sh[x:y]) for x, y in zip(at[:-1], at[1:])])
+            value = np.array([tokens.jaccard(x, y) for x, y in zip(*sets)], np.float64)
             ok = pa.array(np.flatnonzero(value >= threshold))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(ok), batch.column("b").take(ok), pa.array(value).take(ok)], names=["a", "b", "similarity"])
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(verify, "a bigint, b bigint, similarity double")
+    return both.mapInArrow(verify, "a bigint, b bigint, similarity double")
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, min_words: int = 8, threshold: float = 0.5) -> DataFrame:
@@ -122,8 +129,8 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, min_words:
     Groups are the connected components of the links between different texts; links counts the different
     texts that a row's text is linked to. Exact copies share their class and need no links among them.
     """
-    prints = materialise(fingerprints(df, id_col, text_col, min_words))
-    pairs = materialise(class_pairs(prints.drop("rec").dropDuplicates(["cls"]), threshold))
+    classed = with_class(df, id_col, text_col, min_words)
+    pairs = materialise(class_pairs(class_texts(classed), threshold))
     both = pairs.select(F.col("a").alias("cls"), F.col("b").alias("other")).union(pairs.select("b", "a"))
     links = both.groupBy("cls").agg(F.count("*").alias("links"), F.least(F.min("other"), F.col("cls")).alias("label"))
     labels = materialise(links)
@@ -135,7 +142,7 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, min_words:
         labels = new.select("cls", "links", "label")
         if not new.where("old <> label").limit(1).count():
             break
-    members = prints.select(F.col("rec").alias("rec_id"), "cls")
+    members = classed.select(F.col("rec").alias("rec_id"), "cls")
     copies = members.groupBy("cls").agg(F.count("*").alias("n"))
     found = members.join(copies, "cls").join(labels, "cls", "left").where("n > 1 or links is not null")
     return found.select("rec_id", F.coalesce("label", "cls").alias("group_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
@@ -146,10 +153,9 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, min_words: i
 
     Copies come out expanded into rows; ``near_duplicate_classes`` gives the compact form.
     """
-    prints = materialise(fingerprints(df, id_col, text_col, min_words))
-    members = prints.select("rec", "cls")
-    sketches = prints.drop("rec").dropDuplicates(["cls"])
-    pairs = class_pairs(sketches, threshold)
+    classed = with_class(df, id_col, text_col, min_words)
+    members = materialise(classed.select("rec", "cls"))
+    pairs = class_pairs(class_texts(classed), threshold)
     left, right = members.select(F.col("rec").alias("l"), F.col("cls").alias("a")), members.select(F.col("rec").alias("r"), F.col("cls").alias("b"))
     different = pairs.join(left, "a").join(right, "b").select(F.least("l", "r").alias("rec_id_a"), F.greatest("l", "r").alias("rec_id_b"), "similarity")
     same = members.alias("x").join(members.alias("y"), F.expr("x.cls = y.cls and x.rec < y.rec")).select(F.col("x.rec").alias("rec_id_a"), F.col("y.rec").alias("rec_id_b"), F.lit(1.0).alias("similarity"))
