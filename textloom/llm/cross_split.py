@@ -2,10 +2,11 @@
 
 1. Every text becomes a class (the hash of its word sequence), so that copies, however many, count once.
 2. Evaluation classes are dealt to shards of about ``SHARD_WORDS`` words. Training classes are routed to the
-   shards that can hold a relative of theirs: both sides are joined on 24 keys of three min-hashes, and a
-   training class goes to the distinct shards of its matches. Without this routing every training text
-   would have to pass every shard, which grows with the square of the data. A pair of similarity 0.5 shares
-   no key with probability 0.04, one of 0.6 with 0.003, one of 0.7 with 0.00005.
+   shards that can hold a relative of theirs: both sides are joined on 24 keys of three min-hashes, the
+   distance of 32 further symbols is tested inside the join, and a training class goes to the distinct
+   shards of its matches. Without this routing every training text would have to pass every shard, which
+   grows with the square of the data. A pair of similarity 0.5 shares no key with probability 0.04, one of
+   0.6 with 0.003, one of 0.7 with 0.00005; the distance test loses fewer than 3 in 1,000 at 0.5.
 3. In each shard an FM-index is built over its evaluation texts and the routed training texts are streamed
    through backward search. Seeds are joined to maximal matches, the matched spans merged, and their words
    counted per pair of texts. Pairs whose spans cover enough are verified exactly.
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import tokens
 from textloom.llm.fm_index import FMIndex, maximal_matches, merged_spans
+from textloom.llm.near_duplicates import CHECKS, MAX_DISTANCE, packed_symbols, symbol_distance
 from textloom.session import materialise
 
 SHARD_WORDS = 120_000
@@ -53,16 +55,18 @@ def _sketches(df: DataFrame, min_words: int) -> DataFrame:
             h, at = tokens.hash_texts(batch.column("text").to_pylist())
             sh, starts = tokens.shingles(h, at)
             keep = np.flatnonzero(np.diff(at) >= min_words)
-            values = tokens.minhashes(sh, starts, BANDS * ROWS)[keep].reshape(len(keep), BANDS, ROWS).astype(np.uint64)
+            symbols = tokens.minhashes(sh, starts, BANDS * ROWS + CHECKS)[keep]
+            v0, v1 = packed_symbols(symbols[:, BANDS * ROWS :])
+            values = symbols[:, : BANDS * ROWS].reshape(len(keep), BANDS, ROWS).astype(np.uint64)
             keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(keep), 1))
             for i in range(ROWS):
                 keys = tokens.mix(keys * np.uint64(0x9E3779B97F4A7C15) + values[:, :, i])
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.view(np.int64).ravel()))
             ok = pa.array(keep)
-            arrays = [batch.column("rec_id").take(ok), batch.column("pair_id").take(ok), batch.column("split").take(ok), batch.column("source").take(ok), pa.array(tokens.sequence_hash(h, at)[keep]), pa.array(np.diff(at)[keep].astype(np.int32)), flat]
-            yield pa.RecordBatch.from_arrays(arrays, names=["rec_id", "pair_id", "split", "source", "cls", "n_words", "keys"])
+            arrays = [batch.column("rec_id").take(ok), batch.column("pair_id").take(ok), batch.column("split").take(ok), batch.column("source").take(ok), pa.array(tokens.sequence_hash(h, at)[keep]), pa.array(np.diff(at)[keep].astype(np.int32)), flat, pa.array(v0), pa.array(v1)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["rec_id", "pair_id", "split", "source", "cls", "n_words", "keys", "v0", "v1"])
 
-    return df.mapInArrow(run, "rec_id bigint, pair_id string, split string, source string, cls bigint, n_words int, keys array<bigint>")
+    return df.mapInArrow(run, "rec_id bigint, pair_id string, split string, source string, cls bigint, n_words int, keys array<bigint>, v0 bigint, v1 bigint")
 
 
 def _texts(df: DataFrame) -> DataFrame:
@@ -130,9 +134,10 @@ def cross_split_classes(records: DataFrame, manifest: DataFrame | None = None, m
     words = eval_side.agg(F.sum("n_words")).first()[0] or 0
     shards = max(1, -(-words // SHARD_WORDS))
     shard = F.pmod(F.xxhash64(F.lit("shard"), "cls"), F.lit(shards)).cast("int")
-    e_keys = eval_side.select(F.explode("keys").alias("k"), shard.alias("shard")).distinct()
-    t_keys = train_side.select(F.explode("keys").alias("k"), "cls", "rec_id")
-    routes = materialise(t_keys.join(e_keys, "k").select("cls", "rec_id", "shard").distinct())
+    e_keys = eval_side.select(F.explode("keys").alias("k"), shard.alias("shard"), "v0", "v1").alias("x")
+    t_keys = train_side.select(F.explode("keys").alias("k"), "cls", "rec_id", "v0", "v1").alias("y")
+    near = F.expr(f"x.k = y.k and {symbol_distance('x.v0', 'y.v0')} + {symbol_distance('x.v1', 'y.v1')} <= {MAX_DISTANCE}")
+    routes = materialise(t_keys.join(e_keys, near).select("y.cls", "y.rec_id", "x.shard").distinct())
     load = routes.groupBy("shard").agg(F.ceil(F.count("*") / PART_TEXTS).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64(F.lit("part"), "cls"), F.col("parts")).cast("int").alias("part")
     t_routes = routes.join(load, "shard").select("rec_id", "shard", part)
