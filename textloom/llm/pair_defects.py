@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from textloom.llm import tokens
 from textloom.llm.blank import is_blank
 from textloom.llm.truncation import endings
+from textloom.session import materialise
 
 COPY_SIMILARITY = 0.6
 OPENING, SLACK = 12, 2
@@ -225,7 +226,7 @@ def pair_defects(df: DataFrame, id_col: str = "rec_id", prompt: str = "input_pro
     """
     names = list(dict.fromkeys([prompt, *(n for pair in fields for n in pair)]))
     ids = F.col(id_col).cast("bigint").alias("rec_id")
-    flagged = df.select(ids, *names).mapInArrow(_flag([*fields], prompt), "rec_id bigint, field string, defect string, in_order double")
+    flagged = materialise(df.select(ids, *names).mapInArrow(_flag([*fields], prompt), "rec_id bigint, field string, defect string, in_order double"))
     stacked = df.select(ids, F.explode(F.array(*(F.struct(F.lit(a).alias("field"), F.col(a).alias("text")) for a, _ in fields))).alias("x")).select("rec_id", "x.field", "x.text").where("text is not null")
     cut = endings(stacked, F.col("text")).where("ending = 'open'").select("rec_id", "field", F.lit("truncated").alias("defect"), F.lit(None).cast("double").alias("in_order"))
     return cut.join(flagged.select("rec_id", "field"), ["rec_id", "field"], "left_anti").unionByName(flagged)

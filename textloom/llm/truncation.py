@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.blank import blank
+from textloom.session import materialise
 
 #: Characters taken as blank at the end of a text.
 _BLANK = r"\s\x{85}\p{Z}\x{200B}-\x{200D}\x{2060}\x{FEFF}"
@@ -124,16 +125,18 @@ def endings(df: DataFrame, text: Column) -> DataFrame:
     tail = tail_of(text)
     cols = [F.col(f"`{c}`") for c in df.columns if c != "text"]
     base = df.select(*cols, F.length(text).alias("n_chars"), F.octet_length(text).alias("n_bytes"), F.xxhash64(text).alias("h"), tail.alias("_tail"))
-    base = base.select(*cols, "n_chars", "n_bytes", "h", ending(F.col("_tail")).alias("_state"), line_signature(F.col("_tail")).alias("_line"), F.length("_tail").alias("_tail_len"))
+    base = base.select(*cols, "n_chars", "n_bytes", "h", "_tail", ending(F.col("_tail")).alias("_state"))
+    signed = F.when(F.col("_state") == "open", line_signature(F.col("_tail")))
+    base = materialise(base.select(*cols, "n_chars", "n_bytes", "h", "_state", signed.alias("_line")))  # read three times; the texts only once
     short = (F.length("_line") <= 80) & (F.length("_line") >= 3)
     asked = (F.col("_state") == "open") & short & ~F.col("_line").rlike(r"(?:\x{FFFD}|\.\.\.|…|,)$")
-    per_field = [c for c in ("field",) if c in df.columns]
-    distinct = base.groupBy(*per_field, "h").agg(F.min(F.when(asked, F.col("_line"))).alias("_line"))
-    lines = distinct.groupBy(*per_field, "_line").agg(F.count("*").alias("_n"))
-    total = Window.partitionBy(*per_field) if per_field else Window.partitionBy(F.lit(0))
-    lines = lines.withColumn("_all", F.sum("_n").over(total))
-    recurring = lines.where(F.col("_line").isNotNull() & (F.col("_n") >= RECURS) & (F.col("_n") >= RECUR_SHARE * F.col("_all"))).select(*per_field, "_line", F.lit(True).alias("_recurs"))
-    out = base.withColumn("_key", F.when(asked, F.col("_line"))).drop("_line").join(recurring.withColumnRenamed("_line", "_key"), [*per_field, "_key"], "left")
+    field = F.col("field") if "field" in df.columns else F.lit("")
+    distinct = base.groupBy(field.alias("_f"), "h").agg(F.min(F.when(asked, F.col("_line"))).alias("_line"))
+    totals = distinct.groupBy("_f").agg(F.count("*").alias("_all"))
+    lines = distinct.where("_line is not null").groupBy("_f", "_line").agg(F.count("*").alias("_n")).where(F.col("_n") >= RECURS).join(totals, "_f")
+    recurring = lines.where(F.col("_n") >= RECUR_SHARE * F.col("_all")).select("_f", F.col("_line").alias("_key"), F.lit(True).alias("_recurs"))
+    keyed = base.withColumn("_f", field).withColumn("_key", F.when(asked, F.col("_line"))).drop("_line")
+    out = keyed.join(F.broadcast(recurring), ["_f", "_key"], "left")  # at most 1 / RECUR_SHARE lines a field
     return out.select(*cols, "n_chars", "n_bytes", "h", F.when((F.col("_state") == "open") & F.col("_recurs"), "complete").otherwise(F.col("_state")).alias("ending"))
 
 
