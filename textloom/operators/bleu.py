@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import word_tokens
@@ -10,6 +10,12 @@ from textloom.functions.text import word_tokens
 ORDERS, EPSILON = 4, 0.1
 
 
+def _grams(n: int) -> Column:
+    """The n-grams of ``_w``, as their order and hash."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - n + 1))
+    return F.transform(starts, lambda i: F.struct(F.lit(n).alias("o"), F.xxhash64(F.slice("_w", i, n)).alias("g")))
+
+
 def self_bleu(df: DataFrame, key: str, text: str, by: str) -> DataFrame:
     """(by, n_docs, self_bleu): the mean 4-gram BLEU of each document of a group against the others; NaN below two.
 
@@ -17,27 +23,29 @@ def self_bleu(df: DataFrame, key: str, text: str, by: str) -> DataFrame:
     follows from the two largest counts in the group. The closest reference length follows from the neighbours in
     the list of lengths. A zero count becomes ``EPSILON`` (smoothing method 1).
     """
-    docs = df.where(F.col(text).isNotNull()).select(by, key, word_tokens(text).alias("w")).withColumn("len", F.size("w"))
-    grams = [F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1)), lambda i, n=n: F.struct(F.lit(n).alias("o"), F.xxhash64(F.slice("w", i, n)).alias("g"))) for n in range(1, ORDERS + 1)]
-    kept = F.concat(*(F.when(F.size("w") >= n, g).otherwise(F.array().cast("array<struct<o:int,g:bigint>>")) for n, g in enumerate(grams, 1)))
-    counts = docs.select(by, key, F.explode(kept).alias("x")).groupBy(by, key, "x.o", "x.g").agg(F.count("*").alias("c"))
-    # The two largest counts per n-gram by plain maxima: of all, and of those below, with the number that share the largest.
-    top = counts.groupBy(by, "o", "g", "c").agg(F.count("*").alias("m")).groupBy(by, "o", "g").agg(F.max(F.struct("c", "m")).alias("t"), F.array_sort(F.collect_list("c")).alias("cs"))
-    top = top.select(by, "o", "g", F.col("t.c").alias("c1"), F.col("t.m").alias("m1"), F.coalesce(F.try_element_at("cs", F.lit(-2)), F.lit(0)).alias("c2"))
-    other = F.when((F.col("c") < F.col("c1")) | (F.col("m1") > 1), F.col("c1")).otherwise(F.col("c2"))
-    clipped = counts.join(top, [by, "o", "g"]).groupBy(by, key, "o").agg(F.sum(F.least("c", other)).alias("hit"))
-    hits = clipped.groupBy(by, key).agg(*(F.sum(F.when(F.col("o") == n, F.col("hit"))).alias(f"h{n}") for n in range(1, ORDERS + 1)))
-    lengths = docs.groupBy(by, "len").agg(F.count("*").alias("same"))
-    w = Window.partitionBy(by).orderBy("len")
-    lengths = lengths.withColumn("below", F.lag("len").over(w)).withColumn("above", F.lead("len").over(w)).withColumn("n_docs", F.sum("same").over(Window.partitionBy(by)))
-    near = F.when(F.col("same") > 1, F.col("len")).when(F.col("below").isNull(), F.col("above")).when(F.col("above").isNull(), F.col("below")).when(F.col("len") - F.col("below") <= F.col("above") - F.col("len"), F.col("below")).otherwise(F.col("above"))
-    joined = docs.select(by, key, "len").join(lengths.select(by, "len", "n_docs", near.alias("ref")), [by, "len"]).join(hits, [by, key], "left")
+    docs = df.where(F.col(text).isNotNull()).select(F.col(by).alias("_by"), F.col(key).alias("_key"), word_tokens(text).alias("_w")).withColumn("_len", F.size("_w"))
+    grams = [_grams(n) for n in range(1, ORDERS + 1)]
+    kept = F.concat(*(F.when(F.size("_w") >= n, g).otherwise(F.array().cast("array<struct<o:int,g:bigint>>")) for n, g in enumerate(grams, 1)))
+    counts = docs.select("_by", "_key", F.explode(kept).alias("_x")).groupBy("_by", "_key", F.col("_x.o").alias("_o"), F.col("_x.g").alias("_g")).agg(F.count("*").alias("_c"))
+    # The two largest counts of each n-gram: the values that occur, with the number of documents that have the largest.
+    values = counts.groupBy("_by", "_o", "_g", "_c").agg(F.count("*").alias("_m"))
+    top = values.groupBy("_by", "_o", "_g").agg(F.max(F.struct("_c", "_m")).alias("_t"), F.array_sort(F.collect_list("_c")).alias("_cs"))
+    top = top.select("_by", "_o", "_g", F.col("_t._c").alias("_c1"), F.col("_t._m").alias("_m1"), F.coalesce(F.try_element_at("_cs", F.lit(-2)), F.lit(0)).alias("_c2"))
+    other = F.when((F.col("_c") < F.col("_c1")) | (F.col("_m1") > 1), F.col("_c1")).otherwise(F.col("_c2"))
+    clipped = counts.join(top, ["_by", "_o", "_g"]).groupBy("_by", "_key", "_o").agg(F.sum(F.least("_c", other)).alias("_hit"))
+    hits = clipped.groupBy("_by", "_key").agg(*(F.sum(F.when(F.col("_o") == n, F.col("_hit"))).alias(f"_h{n}") for n in range(1, ORDERS + 1)))
+    lengths = docs.groupBy("_by", "_len").agg(F.count("*").alias("_same"))
+    w = Window.partitionBy("_by").orderBy("_len")
+    lengths = lengths.withColumn("_below", F.lag("_len").over(w)).withColumn("_above", F.lead("_len").over(w)).withColumn("_docs", F.sum("_same").over(Window.partitionBy("_by")))
+    below, above, own = F.col("_below"), F.col("_above"), F.col("_len")
+    near = F.when(F.col("_same") > 1, own).when(below.isNull(), above).when(above.isNull(), below).when(own - below <= above - own, below).otherwise(above)
+    joined = docs.select("_by", "_key", "_len").join(lengths.select("_by", "_len", "_docs", near.alias("_ref")), ["_by", "_len"]).join(hits, ["_by", "_key"], "left")
     logs = F.lit(0.0)
     for n in range(1, ORDERS + 1):
-        h = F.coalesce(F.col(f"h{n}"), F.lit(0)).cast("double")
-        room = F.greatest(F.lit(1), F.col("len") - n + 1).cast("double")
+        h = F.coalesce(F.col(f"_h{n}"), F.lit(0)).cast("double")
+        room = F.greatest(F.lit(1), own - n + 1).cast("double")
         logs = logs + F.log(F.when(h > 0, h).otherwise(EPSILON) / room) / ORDERS
-    penalty = F.when(F.col("len") > F.col("ref"), 1.0).otherwise(F.exp(1.0 - F.col("ref") / F.greatest(F.col("len"), F.lit(1))))
-    score = F.when(F.coalesce(F.col("h1"), F.lit(0)) == 0, 0.0).otherwise(penalty * F.exp(logs))
-    each = joined.groupBy(by).agg(F.max("n_docs").alias("n_docs"), F.avg(score).alias("s"))
-    return each.select(by, "n_docs", F.when(F.col("n_docs") < 2, float("nan")).otherwise(F.col("s")).alias("self_bleu"))
+    penalty = F.when(own > F.col("_ref"), 1.0).otherwise(F.exp(1.0 - F.col("_ref") / F.greatest(own, F.lit(1))))
+    score = F.when(F.coalesce(F.col("_h1"), F.lit(0)) == 0, 0.0).otherwise(penalty * F.exp(logs))
+    each = joined.groupBy("_by").agg(F.max("_docs").alias("n_docs"), F.avg(score).alias("_s"))
+    return each.select(F.col("_by").alias(by), "n_docs", F.when(F.col("n_docs") < 2, float("nan")).otherwise(F.col("_s")).alias("self_bleu"))

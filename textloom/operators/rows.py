@@ -29,8 +29,8 @@ def min_length(df: DataFrame, text: str, n: int) -> DataFrame:
 
 
 def bucketize(score: Column, k: int) -> Column:
-    """The bucket floor(score * k), kept within 0..k-1. NaN sorts above all numbers and gets the last."""
-    return F.when(F.isnan(score), k - 1).otherwise(F.greatest(F.lit(0), F.least(F.lit(k - 1), F.floor(score * k)))).cast("int")
+    """The bucket floor(score * k), kept within 0..k-1. NaN sorts above all numbers and gets the last; null stays null."""
+    return F.when(F.isnan(score), k - 1).when(score.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(k - 1), F.floor(score * k)))).cast("int")
 
 
 def binary_label(score: Column, threshold: float = 0.5) -> Column:
