@@ -2,11 +2,11 @@
 
 1. Every text becomes a class (the hash of its word sequence), so that copies, however many, count once.
 2. Evaluation classes are dealt to shards of about ``SHARD_WORDS`` words. Training classes are routed to the
-   shards that can hold a relative of theirs: both sides are joined on 24 keys of three min-hashes, the
+   shards that can hold a relative of theirs: both sides are joined on 32 keys of three min-hashes, the
    distance of 32 further symbols is tested inside the join, and a training class goes to the distinct
    shards of its matches. Without this routing every training text would have to pass every shard, which
-   grows with the square of the data. A pair of similarity 0.5 shares no key with probability 0.04, one of
-   0.6 with 0.003, one of 0.7 with 0.00005; the distance test loses fewer than 3 in 1,000 at 0.5.
+   grows with the square of the data. A pair of similarity 0.5 shares no key with probability 0.014, one of
+   0.6 with 0.0004, one of 0.7 with 0.000002; the distance test loses fewer than 3 in 1,000 at 0.5.
 3. In each shard an FM-index is built over its evaluation texts and the routed training texts are streamed
    through backward search. Seeds are joined to maximal matches, the matched spans merged, and their words
    counted per pair of texts. Pairs whose spans cover enough are verified exactly.
@@ -36,7 +36,7 @@ from textloom.session import materialise
 SHARD_WORDS = 120_000
 #: Training classes that one part of a shard takes.
 PART_TEXTS = 4_000
-BANDS, ROWS = 24, 3
+BANDS, ROWS = 32, 3
 SEED = 6
 #: A pair is verified if its merged spans cover this share of the shorter text. Texts of similarity 0.5 share
 #: two thirds of their shingles, most of them in runs of at least a seed.

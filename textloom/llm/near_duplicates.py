@@ -7,8 +7,8 @@ that two texts meet in a table if they differ in at most one symbol of a segment
 distance of the verifying part (``CHECKS`` further symbols) tested inside the join, before anything is
 emitted, and the survivors' exact similarity is computed from their texts.
 
-With 9 segments of 4 symbols a pair of similarity 0.5 is missed by the tables with probability 0.034,
-one of 0.6 with 0.003, one of 0.7 with 0.00008; the distance test loses fewer than 3 in 1,000 at 0.5.
+With 12 segments of 4 symbols a pair of similarity 0.5 is missed by the tables with probability 0.011,
+one of 0.6 with 0.0004, one of 0.7 with 0.000003; the distance test loses fewer than 3 in 1,000 at 0.5.
 
 Scale: exact copies are collapsed into classes first (a group of copies, however large, is one row from
 there on); keys are spread by hash over the shuffle partitions and hot keys are split by the adaptive
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from textloom.llm import tokens
 from textloom.session import materialise
 
-SEGMENTS, WIDTH, CHECKS = 9, 4, 32
+SEGMENTS, WIDTH, CHECKS = 12, 4, 32
 #: Bits kept of each verifying symbol: 32 symbols of 4 bits are two 64-bit words.
 SYMBOL_BITS = 4
 #: Largest distance, in verifying symbols, of a match that is looked at further. A pair of similarity 0.5
