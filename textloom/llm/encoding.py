@@ -51,6 +51,8 @@ _K = len(ALPHABET) + 1
 #: Log probability of a bigram that was never seen, and how much better a reading has to be.
 FLOOR, MARGIN = math.log(1e-7), math.log(1e2)
 ROUNDS = 12
+#: Signs out of place that a document needs before letters of other Latin alphabets count as damage.
+ENOUGH = 3
 _IDENTITY = ""
 
 
@@ -67,8 +69,9 @@ def _tables() -> tuple[dict[str, str], dict[str, frozenset[str]]]:
     """Sequences with the character each stands for, and single signs with the letters each can stand for."""
     sequences: dict[str, str] = {}
     originals = [chr(c) for c in range(0x80, 0x180)] + list("ŒœŸŠšŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™")
+    symbols = [chr(c) for r in ((0x391, 0x3CA), (0x410, 0x450), (0x2190, 0x22FF), (0x2500, 0x25A0)) for c in range(*r)]
     for page in READ_PAGES:
-        for c in originals:
+        for c in originals + symbols * (page not in ("cp1251", "cp1253", "cp866", "koi8-r")):
             read = _decode(c.encode("utf-8"), page)
             if read and read != c and not read.isascii() and len(read) > 1:
                 sequences.setdefault(read, c)
@@ -87,7 +90,19 @@ def _tables() -> tuple[dict[str, str], dict[str, frozenset[str]]]:
 
 
 SEQUENCES, SIGNS = _tables()
-_SEQUENCE = re.compile("|".join(map(re.escape, sorted(SEQUENCES, key=len, reverse=True))))
+
+
+def _pattern(sequences: dict[str, str]) -> re.Pattern:
+    """All sequences, the longer ones first, branching on their first and second characters."""
+    ends: defaultdict[str, defaultdict[str, set[str]]] = defaultdict(lambda: defaultdict(set))
+    for s in sequences:
+        ends[s[0]][s[1:-1]].add(s[-1])
+    every = lambda chars: "[" + "".join(map(re.escape, sorted(chars))) + "]"
+    heads = (re.escape(a) + "(?:" + "|".join(re.escape(m) + every(z) for m, z in sorted(b.items(), key=lambda x: -len(x[0]))) + ")" for a, b in sorted(ends.items()))
+    return re.compile("|".join(heads))
+
+
+_SEQUENCE = _pattern(SEQUENCES)
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 _SIGN = re.compile("[" + "".join(map(re.escape, SIGNS)) + "]")
 #: Sequences that begin so are no natural text even with no letter beside them.
@@ -113,10 +128,10 @@ def _suspicious_sign(text: str, i: int) -> bool:
     if c in LATIN:
         return c.isupper() and left in LATIN and left.islower()
     if c in _MARKS:
-        return left in LATIN and (c in _OPENING or (right in LATIN and c in "“”«»¡¿€…" and right.islower())) if left else False
-    if c in "ºª²³°™®©·¹" and not (left in LATIN and right in LATIN):
+        return left in LATIN and (c in _OPENING or (right in LATIN and c in "“”«»¡¿€…" and right.islower()))
+    if c in "ºª²³°™®©·¹" and not (left in LATIN and right in LATIN and (left, c, right) != ("l", "·", "l")):
         return False
-    return (left in LATIN if left else False) or (right in LATIN if right else False)
+    return left in LATIN or right in LATIN
 
 
 def units(text: str) -> list[tuple[int, int]]:
@@ -125,8 +140,8 @@ def units(text: str) -> list[tuple[int, int]]:
     for m in _SEQUENCE.finditer(text):
         a, b = m.span()
         left, right = text[a - 1 : a] if a else "", text[b : b + 1]
-        foreign = any(x and x.isalpha() and x not in LATIN and x not in SIGNS for x in (left, right))
-        if text[a] in _PLAIN_LEADS or (not foreign and (left in LATIN if left else False or right in LATIN if right else False)):
+        foreign = any(x.isalpha() and x not in LATIN and x not in SIGNS for x in (left, right) if x)
+        if text[a] in _PLAIN_LEADS or (not foreign and (b - a > 2 or left in LATIN or right in LATIN)):
             out.append((a, b))
     covered = {i for a, b in out for i in range(a, b)}
     for m in _SIGN.finditer(text):
@@ -226,6 +241,17 @@ def learn(contexts, table: np.ndarray) -> list[tuple[str, str, float]]:
     return out
 
 
+def _plausible(letter: str, left: np.ndarray, right: np.ndarray, table: np.ndarray) -> bool:
+    """Whether a letter is known beside its neighbours, on both sides, in at least half of the places."""
+    i = _INDEX.get(letter)
+    return i is not None and bool(((table[left, i] > FLOOR) & (table[i, right] > FLOOR)).mean() >= 0.5)
+
+
+def _extended_latin(unit: str) -> bool:
+    """A letter of other Latin alphabets (Polish, Czech, Turkish …), which may as well belong to a name."""
+    return len(unit) == 1 and "\u0100" <= unit < "\u0250" and unit not in LATIN
+
+
 def repair(text: str, shares: dict[str, dict[str, float]], table: np.ndarray) -> tuple[str, bool, set[str]]:
     """(text, damaged, units replaced) of one document under the learned shares of its source."""
     damaged, replaced = False, set()
@@ -241,11 +267,13 @@ def repair(text: str, shares: dict[str, dict[str, float]], table: np.ndarray) ->
             left, right = np.array(places).T
             score = _scores(unit, options, left, right, table).sum(1) + np.log([max(learned.get(o, 1 / len(options)), 1e-6) for o in options])
             best = int(score.argmax())
-            if best and score[best] - score[0] >= MARGIN:
+            if best and score[best] - score[0] >= MARGIN and (len(unit) > 1 or _plausible(options[best], left, right, table)):
                 mapping[unit] = options[best]
 
+        single = sum(len(places) for unit, places in by_unit.items() if len(unit) == 1)
         for unit, places in by_unit.items():
-            choose(unit, places)
+            if single >= ENOUGH or not _extended_latin(unit):
+                choose(unit, places)
         if not mapping:
             break
         damaged = True
