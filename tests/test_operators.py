@@ -85,7 +85,7 @@ def test_passage_fallback_or_error(spark):
 
 
 def test_cross_topics_hand_out(spark):
-    pairs = spark.createDataFrame([(f"p{i}", i % 2) for i in range(7)], "pair_id string, cluster_id int")
+    pairs = spark.createDataFrame([(f"{i:03x}p", i % 2) for i in range(7)], "pair_id string, cluster_id int")
     topics = spark.createDataFrame([(f"t{i}",) for i in range(5)], "topic string")
     got = joins.cross_topics(pairs, topics, 2).collect()
     assert len({(r.cluster_id, r.new_topic) for r in got}) == len(got) == 10
@@ -107,7 +107,7 @@ def test_plateau(spark):
 
 def test_ratchet_and_early_stop(spark):
     df = spark.createDataFrame([("a", i, s) for i, s in enumerate([0.5, 0.6, 0.5, 0.4, 0.45, 0.41])], "k string, i int, s double")
-    assert rows_of(rounds.ratchet(df, ["k"], ["i"], "s"), "i") == [(0,), (3,)]
+    assert rows_of(rounds.ratchet(df, ["k"], "i", "s", block=2), "i") == [(0,), (3,)]
     got = rounds.best_so_far(df, ["k"], ["i"], "s", 2).orderBy("i").collect()
     assert [r.waited for r in got] == [0, 1, 2, 0, 1, 2] and [r.stop for r in got] == [False, False, True, False, False, True]
 

@@ -64,7 +64,8 @@ def test_weighted_sample_follows_weights(spark):
 
 def test_elite_has_at_least_one(spark):
     df = spark.range(12).select("id", (F.col("id") % 2).alias("k")).union(spark.createDataFrame([(50, 9)], "id long, k long"))
-    assert rows_of(S.elite(df, 0.34, ["k"], F.col("id").asc()), "id") == [(0,), (1,), (2,), (3,), (50,)]
+    df = df.withColumn("s", F.col("id") / 100)
+    assert rows_of(S.elite(df, 0.34, ["k"], "s", "id"), "id") == [(0,), (1,), (2,), (3,), (50,)]
 
 
 def test_refill_and_epsilon_shares(spark):

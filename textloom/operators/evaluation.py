@@ -116,12 +116,20 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def score_stats(df: DataFrame, score: str, threshold: float, *by: str) -> DataFrame:
-    """count, mean, median, min, max, sample deviation (0 for one value) and share below a threshold; nulls for none."""
-    s = F.col(score)
-    return df.groupBy(*by).agg(
-        F.count(s).alias("n"), F.avg(s).alias("mean"), F.median(s).alias("median"), F.min(s).alias("min"), F.max(s).alias("max"),
-        F.when(F.count(s) == 1, 0.0).otherwise(F.stddev_samp(s)).alias("stdev"), F.avg((s < threshold).cast("double")).alias("share_below"),
+    """count, mean, median, min, max, sample deviation (0 for one value) and share below a threshold; nulls for none.
+
+    Everything is computed from counts per distinct score, so the exact median never gathers the rows of a group.
+    """
+    per = df.groupBy(*by, F.col(score).cast("double").alias("_s")).agg(F.count("*").alias("_n"))
+    s, n = F.col("_s"), F.when(F.col("_s").isNotNull(), F.col("_n")).otherwise(0)
+    out = per.groupBy(*by).agg(
+        F.sum(n).alias("n"), F.sum(s * n).alias("_sum"), F.sum(s * s * n).alias("_squares"), F.percentile("_s", 0.5, F.col("_n")).alias("median"),
+        F.min(s).alias("min"), F.max(s).alias("max"), F.sum(F.when(s < threshold, n).otherwise(0)).alias("_below"),
     )
+    total = F.col("n").cast("double")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("_squares") - F.col("_sum") * F.col("_sum") / total) / (total - 1))
+    stdev = F.when(F.col("n") == 1, 0.0).when(F.col("n") > 1, spread)
+    return out.select(*by, "n", F.try_divide(F.col("_sum"), total).alias("mean"), "median", "min", "max", stdev.alias("stdev"), F.try_divide(F.col("_below").cast("double"), total).alias("share_below"))
 
 
 def run_summary(df: DataFrame, score: str, **means: str) -> DataFrame:

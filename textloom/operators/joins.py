@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -87,11 +87,11 @@ def cross_topics(pairs: DataFrame, topics: DataFrame, per_pair: int = 10, seed:
     """New (pair, topic) rows: each pair gets up to ``per_pair`` topics, no topic twice within a cluster.
 
     Pairs are ranked within their cluster and topics by hash; pair number r takes the topics of ranks
-    (r-1)*k+1 .. r*k, the hand-out of a sequential loop in closed form. Topics are numbered once, so the join is on
-    a block number, and hot clusters are bounded by the number of topics.
+    (r-1)*k+1 .. r*k, the hand-out of a sequential loop in closed form. Pair ids are hexadecimal hashes, so both
+    numberings are made in buckets; the join is on a block number.
     """
     ranked = bucketed_rank(topics.select(F.col(topic).alias("new_topic")).distinct().withColumn("_o", hash_order(seed, "new_topic")), "_o").select("new_topic", F.ceil(F.col("rank") / per_pair).cast("bigint").alias("block"))
-    numbered = pairs.withColumn("block", F.row_number().over(Window.partitionBy("cluster_id").orderBy("pair_id")).cast("bigint"))
+    numbered = bucketed_rank(pairs, "pair_id", "cluster_id").withColumnRenamed("rank", "block").drop("n_all")
     return numbered.join(ranked, "block").drop("block")
 
 

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.selection import ranked_in_buckets
+
 
 def plateau(df: DataFrame, run: Sequence[str], round_: str, best: str, patience: int = 2, epsilon: float = 0.02) -> DataFrame:
     """``df`` with ``stop``: whether the last ``patience`` improvements were all below epsilon."""
@@ -29,10 +31,14 @@ def trajectory_pairs(df: DataFrame, run: Sequence[str], step: str, item: str, sc
     return steps.unionByName(whole).where("child_score < parent_score")
 
 
-def ratchet(df: DataFrame, run: Sequence[str], order: Sequence[str], score: str) -> DataFrame:
-    """Rows whose score is below every earlier one of their run."""
-    w = Window.partitionBy(*run).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("_best", F.min(score).over(w)).where(F.col("_best").isNull() | (F.col(score) < F.col("_best"))).drop("_best")
+def ratchet(df: DataFrame, run: Sequence[str], order: str, score: str, block: int = 100_000) -> DataFrame:
+    """Rows whose score is below every earlier one of their run.
+
+    Runs may hold a large share of all rows (a hot topic), so each is first reduced within blocks of the order
+    column, a number: a row that isn't lowest so far in its block can't be in its run. Few rows are left per block.
+    """
+    lowest = lambda d, *by: d.withColumn("_best", F.min(score).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))).where(F.col("_best").isNull() | (F.col(score) < F.col("_best"))).drop("_best")
+    return lowest(lowest(df.withColumn("_block", F.floor(F.col(order) / block)), *run, "_block"), *run).drop("_block")
 
 
 def best_so_far(df: DataFrame, run: Sequence[str], order: Sequence[str], score: str, patience: int) -> DataFrame:
@@ -61,8 +67,9 @@ def recency_oversample(df: DataFrame, round_: str, ordinal: str, weight: float =
 
 
 def curriculum(df: DataFrame, by: Sequence[str], gap: str, ordinal: str) -> DataFrame:
-    """``df`` with its rank by gap, largest first, stable."""
-    return df.withColumn("curriculum_rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(gap).desc(), F.col(ordinal).asc())))
+    """``df`` with its rank by gap, largest first, stable. Gaps lie in [-1, 1]; ranks are made in 2,001 buckets of them."""
+    ranked = ranked_in_buckets(df, by, F.floor(-F.col(gap) * 1000), F.col(gap).desc(), F.col(ordinal).asc())
+    return ranked.withColumn("curriculum_rank", F.col("rank").cast("int")).drop("rank", "n_all")
 
 
 def round_robin(spark, seeds: DataFrame, n: int, ordinal: str) -> DataFrame:
@@ -88,10 +95,12 @@ def candidate_means(df: DataFrame, by: Sequence[str], score: str, raw: str, simi
 
 def round_summary(df: DataFrame, round_: str, score: str, threshold: float) -> DataFrame:
     """Per round: best and mean score, texts below the threshold, and a struct of statistics."""
-    s = F.col(score)
-    return df.groupBy(round_).agg(
-        F.min(s).alias("best_score"), F.avg(s).alias("mean_score"), F.count_if(s < threshold).alias("n_below"),
-        F.struct(F.count(s).alias("count"), F.avg(s).alias("mean"), F.median(s).alias("median"), F.min(s).alias("min"), F.max(s).alias("max")).alias("stats"),
+    per = df.groupBy(round_, F.col(score).alias("_s")).agg(F.count("*").alias("_n"))
+    n = F.when(F.col("_s").isNotNull(), F.col("_n")).otherwise(0)
+    mean = F.try_divide(F.sum(F.col("_s") * F.col("_n")), F.sum(n).cast("double"))
+    return per.groupBy(round_).agg(
+        F.min("_s").alias("best_score"), mean.alias("mean_score"), F.sum(F.when(F.col("_s") < threshold, F.col("_n")).otherwise(0)).alias("n_below"),
+        F.struct(F.sum(n).alias("count"), mean.alias("mean"), F.percentile("_s", 0.5, F.col("_n")).alias("median"), F.min("_s").alias("min"), F.max("_s").alias("max")).alias("stats"),
     )
 
 

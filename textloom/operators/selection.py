@@ -26,10 +26,13 @@ def distinct_first(df: DataFrame, key: str, ordinal: str) -> DataFrame:
 
 
 def distinct_last(df: DataFrame, key: str, ordinal: str) -> DataFrame:
-    """One row per value, the latest, with the place of the earliest in ``first_<ordinal>``."""
-    w = Window.partitionBy(key)
-    placed = df.withColumn(f"first_{ordinal}", F.min(ordinal).over(w))
-    return first_per(placed, [key], F.col(ordinal).desc())
+    """One row per value, the latest, with the place of the earliest in ``first_<ordinal>``.
+
+    Two maxima in one aggregation, combined before the shuffle: a key with very many rows is no burden.
+    """
+    rest = [c for c in df.columns if c not in (key, ordinal)]
+    out = df.groupBy(key).agg(F.max(F.struct(ordinal, *rest)).alias("_m"), F.min(ordinal).alias(f"first_{ordinal}"))
+    return out.select(key, f"_m.{ordinal}", *(f"_m.{c}" for c in rest), f"first_{ordinal}")
 
 
 def best_per(df: DataFrame, key: str, score: str, ordinal: str, largest: bool = False) -> DataFrame:
@@ -58,11 +61,26 @@ def elite_count(n: Column, share: float = 0.2) -> Column:
     return F.greatest(F.lit(1), F.floor(n * share)).cast("int")
 
 
-def elite(df: DataFrame, share: float, by: Sequence[str], *order: Column) -> DataFrame:
-    """The best max(1, share of the group) rows of each group."""
-    w = Window.partitionBy(*by)
-    ranked = df.withColumn("_n", F.count("*").over(w)).withColumn("_rn", F.row_number().over(w.orderBy(*order)))
-    return ranked.where(F.col("_rn") <= elite_count(F.col("_n"), share)).drop("_n", "_rn")
+def ranked_in_buckets(df: DataFrame, by: Sequence[str], bucket: Column, *order: Column) -> DataFrame:
+    """``df`` with rank and n_all within each group, without any task that holds a whole group.
+
+    ``bucket`` has to rise with the order. Rows are numbered within their bucket, and the sizes of the buckets
+    before are added; only these sizes are gathered by group.
+    """
+    names = [f"_by{i}" for i in range(len(by))]
+    b = df.withColumns({n: F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for n, c in zip(names, by)}).withColumn("_b", bucket)
+    sizes = b.groupBy(*names, "_b").agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*names)
+    before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*names, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(group).alias("n_all"))
+    inside = b.withColumn("_in", F.row_number().over(Window.partitionBy(*names, "_b").orderBy(*order)))
+    return inside.join(offsets, [*names, "_b"]).withColumn("rank", F.col("_before") + F.col("_in")).drop(*names, "_b", "_in", "_before")
+
+
+def elite(df: DataFrame, share: float, by: Sequence[str], score: str, ordinal: str) -> DataFrame:
+    """The max(1, share of the group) lowest scored rows of each group, the earliest of equals first. Scores lie in [0, 1]."""
+    ranked = ranked_in_buckets(df, by, F.floor(F.col(score) * 1000), F.col(score).asc(), F.col(ordinal).asc())
+    return ranked.where(F.col("rank") <= elite_count(F.col("n_all"), share)).drop("rank", "n_all")
 
 
 def pool_merge(existing: DataFrame, new: DataFrame, cap: int, text: str = "essay", score: str = "slop_score", ordinal: str = "ordinal", prefix: int = 4000) -> DataFrame:
@@ -95,28 +113,22 @@ def stratified_split(df: DataFrame, strata: Sequence[str], seed: int, key: str,
 
     A stratum with fewer than two rows can't be divided and is split with all others of its kind, as one stratum.
     """
-    size = F.count("*").over(Window.partitionBy(*strata))
-    marked = df.withColumn("_small", size < 2).withColumn("_o", hash_order(seed, key))
-    groups = [F.when(F.col("_small"), F.lit(None)).otherwise(F.col(s)) for s in strata]
-    w = Window.partitionBy("_small", *groups)
-    ranked = marked.withColumn("_n", F.count("*").over(w)).withColumn("_rn", F.row_number().over(w.orderBy("_o", key)))
-    n_test, n_val = F.ceil(F.col("_n") * test), F.ceil(F.col("_n") * val)
-    split = F.when(F.col("_rn") <= n_test, "test").when(F.col("_rn") <= n_test + n_val, "val").otherwise("train")
-    return ranked.withColumn("split", split).drop("_small", "_o", "_n", "_rn")
+    sizes = df.groupBy(*strata).agg(F.count("*").alias("_size"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in strata]
+    joined = df.alias("a").join(sizes.alias("b"), on=same)
+    marked = joined.select("a.*", (F.col("_size") < 2).alias("_small")).withColumn("_o", hash_order(seed, key))
+    groups = {f"_g{i}": F.when(~F.col("_small"), F.col(c).cast("string")) for i, c in enumerate(strata)}
+    ranked = ranked_in_buckets(marked.withColumns(groups), ["_small", *groups], F.substring("_o", 1, 3), F.col("_o").asc(), F.col(key).asc())
+    n_test, n_val = F.ceil(F.col("n_all") * test), F.ceil(F.col("n_all") * val)
+    split = F.when(F.col("rank") <= n_test, "test").when(F.col("rank") <= n_test + n_val, "val").otherwise("train")
+    return ranked.withColumn("split", split).drop("_small", "_o", "rank", "n_all", *groups)
 
 
-def bucketed_rank(df: DataFrame, order: str) -> DataFrame:
-    """A global row number by an evenly spread hexadecimal string, without one task sorting everything.
-
-    Rows are ranked within their first three digits and offset by the sizes of the buckets before; only the
-    4,096 bucket sizes pass through one task.
-    """
-    b = df.withColumn("_b", F.substring(order, 1, 3))
-    sizes = b.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_total"))
-    inside = F.row_number().over(Window.partitionBy("_b").orderBy(order))
-    return b.withColumn("_in", inside).join(F.broadcast(offsets), "_b").withColumn("rank", F.col("_before") + F.col("_in")).withColumnRenamed("_total", "n_all").drop("_b", "_in", "_before")
+def bucketed_rank(df: DataFrame, order: str, *by: str) -> DataFrame:
+    """rank and n_all by an evenly spread hexadecimal string, of all rows or within groups: 4,096 buckets a group."""
+    if by:
+        return ranked_in_buckets(df, by, F.substring(order, 1, 3), F.col(order).asc())
+    return ranked_in_buckets(df.withColumn("_all", F.lit(0)), ["_all"], F.substring(order, 1, 3), F.col(order).asc()).drop("_all")
 
 
 def split_manifest(ids: DataFrame, pair_id: str, seed: int, train: float = 0.70, val: float = 0.15) -> DataFrame:
@@ -132,9 +144,9 @@ def split_manifest(ids: DataFrame, pair_id: str, seed: int, train: float = 0.70,
     return bucketed_rank(one, "_o").select("pair_id", split.alias("split"))
 
 
-def nested_manifest(flat: DataFrame) -> DataFrame:
-    """The manifest as one row per split with its sorted ids: the shape of the shipped documents, kept distributed by split."""
-    return flat.groupBy("split").agg(F.array_sort(F.collect_list("pair_id")).alias("pair_ids"))
+def nested_manifest(flat: DataFrame, digits: int = 2) -> DataFrame:
+    """The manifest as rows of sorted id lists: one per split and leading digits of the id, so that no row grows with all ids."""
+    return flat.groupBy("split", F.substring("pair_id", 1, digits).alias("part")).agg(F.array_sort(F.collect_list("pair_id")).alias("pair_ids"))
 
 
 def unnested_manifest(nested: DataFrame, column: str = "splits") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.vectors import unit
@@ -47,9 +47,9 @@ def nearest_to_centroid(df: DataFrame, vec_id: str, vector: str, by: str, center
     return own.unionByName(far)
 
 
-def member_lists(df: DataFrame, by: str, *members: str) -> DataFrame:
-    """Cluster documents: number of members and their sorted values per column. For reports of clusters that fit a row."""
-    return df.groupBy(by).agg(F.count("*").alias("n_organic"), *(F.array_sort(F.collect_list(m)).alias(f"member_{m}s") for m in members))
+def member_lists(df: DataFrame, by: str, shard: Column, *members: str) -> DataFrame:
+    """Cluster documents: number of members and their sorted values, a row per cluster and shard, so that no row grows without bound."""
+    return df.groupBy(by, shard.alias("shard")).agg(F.count("*").alias("n_organic"), *(F.array_sort(F.collect_list(m)).alias(f"member_{m}s") for m in members))
 
 
 def small_groups(df: DataFrame, by: str, least: int = 3) -> DataFrame:
@@ -67,10 +67,6 @@ def kmeans(df: DataFrame, vec_id: str, vector: str, k: int, seed: int = 42):
     return model.transform(features).drop("features"), centers
 
 
-def ranked_by(df: DataFrame, by: str, *order) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
-
-
 def representatives(df: DataFrame, by: str, score: str, vec_id: str) -> DataFrame:
     """The lowest scored member of each group."""
     return first_per(df, [by], F.col(score).asc(), F.col(vec_id).asc())

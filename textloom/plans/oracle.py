@@ -166,7 +166,7 @@ k AS (SELECT *, CASE WHEN n < 3 THEN 1 ELSE greatest(1, least(floor(n * 0.7::DOU
 SELECT pair_id, CASE WHEN rn <= a THEN 'train' WHEN rn <= a + b THEN 'val' ELSE 'test' END AS split FROM v""",
         "split_semi_join": f"WITH {MANIFEST} SELECT rec_id FROM prompt_pairs WHERE pair_id IN (SELECT pair_id FROM shipped WHERE split = 'train')",
         "split_by_topic": f"WITH {MANIFEST} SELECT rec_id FROM prompt_pairs WHERE topic IN (SELECT topic FROM prompt_pairs WHERE topic IS NOT NULL AND pair_id IN (SELECT pair_id FROM shipped WHERE split = 'train'))",
-        "nested_manifest": f"WITH {MANIFEST} SELECT split, count(*) AS n, sha256(string_agg(pair_id, ',' ORDER BY pair_id)) AS ids FROM shipped GROUP BY split",
+        "nested_manifest": f"WITH {MANIFEST} SELECT split, substr(pair_id, 1, 2) AS part, count(*) AS n, sha256(string_agg(pair_id, ',' ORDER BY pair_id)) AS ids FROM shipped GROUP BY ALL",
         "pair_row_id": "SELECT rec_id, made, made = pair_id AS same FROM (SELECT rec_id, pair_id, sha256(" + " || chr(10) || ".join(strip(f"coalesce({c}, '')") for c in ("topic", "input_prompt", "output_prompt")) + ") AS made FROM prompt_pairs)",
         "token_windows": f"WITH {WINDOWS} SELECT doc_id, chunk, start::INTEGER AS start, len(t)::INTEGER AS n_tokens FROM parts",
         "char_chunks": "SELECT doc_id, chunk::INTEGER AS chunk, least(400, n - chunk * 400)::INTEGER AS n_chars FROM (SELECT doc_id, length(text) AS n, unnest(range(0, least(14, ceil(length(text) / 400.0))::BIGINT)) AS chunk FROM documents WHERE length(text) > 0)",
@@ -232,7 +232,7 @@ e AS (SELECT source, min(round) AS parent, max(round) AS child, arg_min(mean, ro
         "best_ever": f"SELECT source, rec_id, improvement FROM {_ranked('source', 'improvement DESC, rec_id', 'improvement IS NOT NULL')} WHERE rn = 1",
         "round_summary": "SELECT round, round(min(output_slop_score), 6) AS best_score, round(avg(output_slop_score), 6) AS mean_score, count(*) FILTER (output_slop_score < 0.3) AS n_below, count(output_slop_score) AS n, round(median(output_slop_score), 6) AS median FROM prompt_pairs WHERE round IS NOT NULL GROUP BY round",
         "fill_metrics": f"WITH {RUNS} SELECT a.round, coalesce(CASE WHEN a.round % 2 = 0 THEN a.best END, b.best) AS best FROM runs a LEFT JOIN (SELECT round, max(input_slop_score) AS best FROM prompt_pairs GROUP BY round) b USING (round) WHERE source = 'organic'",
-        "lineage": "WITH e AS (SELECT prompt_id, min(round) AS round, min(rec_id) AS rec_id FROM fool_essays WHERE prompt_id <> '' GROUP BY prompt_id), c AS (SELECT *, lag(prompt_id) OVER (PARTITION BY round ORDER BY prompt_id) AS parent_id FROM e) SELECT c.prompt_id, c.parent_id, p.rec_id AS parent_rec_id FROM c LEFT JOIN c p ON p.prompt_id = c.parent_id",
+        "lineage": "WITH e AS (SELECT prompt_id, min(round) AS round, min(rec_id) AS rec_id FROM fool_essays WHERE prompt_id <> '' GROUP BY prompt_id), c AS (SELECT *, nullif(min(prompt_id) OVER (PARTITION BY round), prompt_id) AS parent_id FROM e WHERE round IS NOT NULL) SELECT c.prompt_id, c.parent_id, p.rec_id AS parent_rec_id FROM c LEFT JOIN c p ON p.prompt_id = c.parent_id",
         "latest_rows": "SELECT rec_id, logged_at FROM prompt_pairs WHERE logged_at IS NOT NULL ORDER BY logged_at DESC, rec_id LIMIT 5",
         "percent_improvement": "SELECT source, round(avg((input_slop_score - output_slop_score) * 100.0::DOUBLE / nullif(input_slop_score, 0)), 6) AS mean_pct, round((1 - avg(output_slop_score) / avg(input_slop_score)) * 100, 6) AS pct_of_means FROM prompt_pairs GROUP BY source",
         "instruction_to_topic": f"""WITH l AS (SELECT rec_id, string_split(input_prompt, chr(10)) AS ls FROM prompt_pairs WHERE input_prompt IS NOT NULL), e AS (SELECT rec_id, unnest(ls) AS line, (generate_subscripts(ls, 1) - 1)::INTEGER AS line_no FROM l)
@@ -249,7 +249,7 @@ y AS (SELECT *, 1.0::DOUBLE * a + 0.35::DOUBLE * b + 0.5::DOUBLE * c AS p FROM x
 g AS (SELECT * FROM (SELECT unnest([0.5, 1.0, 1.5]::DOUBLE[]) AS ga), (SELECT unnest([0.1, 0.35, 0.6]::DOUBLE[]) AS gb), (SELECT unnest([0.25, 0.5, 0.75]::DOUBLE[]) AS gc)), x AS (SELECT ga, gb, gc, s + ga * a + gb * b + gc * c AS x FROM p, g)
 SELECT ga AS alpha_semantic, gb AS alpha_rouge, gc AS alpha_bertscore, round(avg((x < 0.5)::INTEGER::DOUBLE), 6) AS fool_rate_hard, round(avg(1.0::DOUBLE / (1.0::DOUBLE + exp(-40.0::DOUBLE * (0.5::DOUBLE - x)))), 6) AS fool_rate_approx FROM x GROUP BY ga, gb, gc""",
         "trace_event_stream": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
-        "cluster_members": "SELECT label, count(*) AS n_organic, md5(string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id)) AS members FROM embeddings GROUP BY label",
+        "cluster_members": "SELECT label, vec_id % 16 AS shard, count(*) AS n_organic, md5(string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id)) AS members FROM embeddings GROUP BY ALL",
     }
     out["topk_fitness"] = f"SELECT prompt_id, fitness FROM ({out['candidate_agg']}) ORDER BY fitness DESC NULLS LAST, prompt_id LIMIT 12"
     return out

@@ -158,7 +158,7 @@ def split_by_topic(s, d):
 
 @_query
 def nested_manifest(s, d):
-    return selection.nested_manifest(selection.unnested_manifest(table(s, d, "rewriter_split_manifest"))).select("split", F.size("pair_ids").cast("bigint").alias("n"), F.sha2(F.array_join("pair_ids", ","), 256).alias("ids"))
+    return selection.nested_manifest(selection.unnested_manifest(table(s, d, "rewriter_split_manifest"))).select("split", "part", F.size("pair_ids").cast("bigint").alias("n"), F.sha2(F.array_join("pair_ids", ","), 256).alias("ids"))
 
 
 @_query
@@ -278,9 +278,10 @@ def softmax_decode(s, d):
 def _clusters(s: SparkSession, d: str) -> DataFrame:
     """Stand-in clusters of the pair log: one per mutation operator, its template from the earliest prompt."""
     numbered = _pairs(s, d).where("mutation_op is not null").withColumn("cluster_id", F.length("mutation_op"))
-    members = numbered.groupBy("cluster_id").agg(F.collect_set("pair_id").alias("member_pair_ids"))
+    members = numbered.groupBy("cluster_id", F.substring("pair_id", 1, 2).alias("part")).agg(F.collect_set("pair_id").alias("member_pair_ids"))
     first = selection.first_per(numbered.where("output_prompt is not null").select("cluster_id", "rec_id", "output_prompt", "topic"), ["cluster_id"], F.col("rec_id").asc())
-    return members.join(first.select("cluster_id", T.canonical_template("output_prompt", "topic").alias("canonical_template")), "cluster_id")
+    templates = first.select("cluster_id", T.canonical_template("output_prompt", "topic").alias("canonical_template"))
+    return members.select("cluster_id", "member_pair_ids", F.lit(None).cast("string").alias("canonical_template")).unionByName(templates.withColumn("member_pair_ids", F.array().cast("array<string>")))
 
 
 @_query
@@ -389,7 +390,7 @@ def topk_fitness(s, d):
 @_query
 def elite_slice(s, d):
     e = _pairs(s, d).where("output_slop_score is not null")
-    return selection.elite(e, 0.2, ["source", "round"], F.col("output_slop_score").asc(), F.col("rec_id").asc()).select("rec_id")
+    return selection.elite(e, 0.2, ["source", "round"], "output_slop_score", "rec_id").select("rec_id")
 
 
 @_query
@@ -462,7 +463,7 @@ def trajectory_pairs(s, d):
 @_query
 def ratchet_min(s, d):
     p = _pairs(s, d).where("topic is not null and output_slop_score is not null")
-    return rounds.ratchet(p, ["topic"], ["rec_id"], "output_slop_score").select("rec_id")
+    return rounds.ratchet(p, ["topic"], "rec_id", "output_slop_score").select("rec_id")
 
 
 @_query
@@ -491,7 +492,8 @@ def fill_metrics(s, d):
 @_query
 def lineage(s, d):
     e = table(s, d, "fool_essays").where("prompt_id <> ''").groupBy("prompt_id").agg(F.min("round").alias("round"), F.min("rec_id").alias("rec_id"))
-    child = e.withColumn("parent_id", F.lag("prompt_id").over(selection.Window.partitionBy("round").orderBy("prompt_id")))
+    roots = e.groupBy("round").agg(F.min("prompt_id").alias("root"))
+    child = e.join(roots, "round").withColumn("parent_id", F.when(F.col("root") != F.col("prompt_id"), F.col("root")))
     return joins.with_parent(child, "prompt_id", "parent_id", "rec_id").select("prompt_id", "parent_id", "parent_rec_id")
 
 
@@ -583,7 +585,7 @@ def trace_event_stream(s, d):
 
 @_query
 def cluster_members(s, d):
-    return G.member_lists(table(s, d, "embeddings").select("label", F.col("vec_id").alias("vec")), "label", "vec").select("label", "n_organic", F.md5(F.array_join(F.transform("member_vecs", lambda x: x.cast("string")), ",")).alias("members"))
+    return G.member_lists(table(s, d, "embeddings").select("label", F.col("vec_id").alias("vec")), "label", F.col("vec") % 16, "vec").select("label", "shard", "n_organic", F.md5(F.array_join(F.transform("member_vecs", lambda x: x.cast("string")), ",")).alias("members"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
