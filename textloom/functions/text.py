@@ -5,11 +5,15 @@ Java regular expressions are ASCII by default, so every class that has to be Uni
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from textloom.functions.vectors import let
+
 #: The blanks that ``str.strip`` and ``str.split`` of Python take, as the inside of a character class.
 WS = r"\s\x1c-\x1f\x85\p{Z}"
 
@@ -76,20 +80,37 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+def _where_needed(c: Column | str, test: str, f: Callable[[Column], Column]) -> Column:
+    """``f`` of the texts that match a cheap test, all others as they are."""
+    return let(_col(c), lambda t: F.when(t.rlike(test), f(t)).otherwise(t))
+
+
 def without_emoji(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), EMOJI, "")
 
 
 def plain_quotes(c: Column | str) -> Column:
-    return F.replace(F.translate(_col(c), QUOTES, PLAIN_QUOTES), F.lit(ELLIPSIS), F.lit("..."))
+    plain = lambda t: F.replace(F.translate(t, QUOTES, PLAIN_QUOTES), F.lit(ELLIPSIS), F.lit("..."))
+    return _where_needed(c, f"[{QUOTES}{ELLIPSIS}]", plain)
+
+
+#: What a text has to begin with, or to contain, for any of the patterns above to apply.
+_PREFIX_TEST = r"(?i)^(?:sure|here|title:|of course|certainly|absolutely|i(?:'m| am) happy|as requested|below)"
+_SUFFIX_TEST = r"(?i)\n(?:i hope|let me know if|feel free to|\(word count|---)"
 
 
 def without_boilerplate(c: Column | str) -> Column:
     """Preambles, then closing remarks removed, one pattern after the other."""
-    out = _col(c)
-    for pattern in (*PREFIXES, *SUFFIXES):
-        out = F.regexp_replace(out, "(?isd)" + pattern.replace(r"\s", f"[{WS}]"), "")
-    return out
+
+    def removed(patterns: tuple[str, ...]) -> Callable[[Column], Column]:
+        def f(t: Column) -> Column:
+            for pattern in patterns:
+                t = F.regexp_replace(t, "(?isd)" + pattern.replace(r"\s", f"[{WS}]"), "")
+            return t
+
+        return f
+
+    return _where_needed(_where_needed(c, _PREFIX_TEST, removed(PREFIXES)), _SUFFIX_TEST, removed(SUFFIXES))
 
 
 def collapse_newlines(c: Column | str) -> Column:
@@ -100,7 +121,7 @@ def clean_output(c: Column | str, min_words: int = 50, normalise: bool = True) -
     """A generated text without preamble, closing remark and emoji; null under ``min_words`` words."""
     text = nfkc(_col(c)) if normalise else _col(c)
     text = strip(collapse_newlines(without_boilerplate(plain_quotes(without_emoji(text)))))
-    return F.when(word_count(text) >= min_words, text)
+    return let(text, lambda t: F.when(word_count(t) >= min_words, t))
 
 
 def clean_title(c: Column | str) -> Column:

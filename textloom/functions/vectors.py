@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it (also inside lambdas over arrays)."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
 
@@ -25,8 +32,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector divided by its length; a zero vector stays zero."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0))
+    return let(norm(a), lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0)))
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -45,10 +51,8 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 def softmax(logits: Column) -> Column:
     """Probabilities of logits, shifted by the largest so that nothing overflows."""
-    top = F.array_max(logits).cast("double")
-    e = F.transform(logits, lambda x: F.exp(x.cast("double") - top))
-    total = _sum(e)
-    return F.transform(e, lambda x: x / total)
+    shifted = let(F.array_max(logits).cast("double"), lambda top: F.transform(logits, lambda x: F.exp(x.cast("double") - top)))
+    return let(shifted, lambda e: let(_sum(e), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def expected_value(probs: Column) -> Column:
