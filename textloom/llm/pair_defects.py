@@ -36,8 +36,9 @@ from textloom.session import materialise
 
 COPY_SIMILARITY = 0.6
 OPENING, SLACK = 12, 2
-#: Function words of the leading language needed, and how far it has to lead the one it is compared with.
-LEAST_WORDS, LEAD = 3, 1.5
+#: Weight of function words that the leading language needs, and how far it has to lead the second. A word of several
+#: languages counts less for each of them: one over the square of their number.
+LEAST_WEIGHT, LEAD = 2.0, 1.5
 
 # Fixed refusal templates, one a line; alternatives in brackets.
 REFUSALS = """
@@ -89,7 +90,7 @@ não estou em condições de
 
 # Fixed function words by language.
 FUNCTION_WORDS = {
-    "en": "the of and to in is was that it for on with as at by from this be are not or an but they which their has had have there when were who will more if out so what its than then would could should between into only until while never every",
+    "en": "a i you your my me do no we he she his her them one can the of and to in is was that it for on with as at by from this be are not or an but they which their has had have there when were who will more if out so what its than then would could should between into only until while never every",
     "fr": "le la les des du un une et est dans que qui ne pas plus pour par sur avec sans ce cette ces son sa ses leur nous vous ils elle on au aux mais ou où comme depuis encore entre très été avons sont ont il je se y d l qu c n s",
     "de": "der die das den dem des ein eine einen einem einer und ist in im nicht mit von zu zum zur für auf als auch an am bei so wie wir haben es sich dass was warum über nach aus wird sind hat oder aber wenn nur noch durch vor man",
     "es": "el la los las un una unos unas y es en que no del al por para con sin su sus se lo como más pero o entre sobre este esta estos hay ya muy fue han nadie porque cuando desde hasta todo hemos allí aquí qué según",
@@ -147,14 +148,15 @@ def is_refusal(text: str) -> bool:
 
 _WORD_HASHES = {lang: np.sort(tokens.hashed(list(dict.fromkeys(tokens.words(ws))))) for lang, ws in FUNCTION_WORDS.items()}
 _ALL_HASHES = np.unique(np.concatenate(list(_WORD_HASHES.values())))
-_TABLE = np.stack([np.isin(_ALL_HASHES, _WORD_HASHES[lang]) for lang in _LANGUAGES], 1).astype(np.int32)
+_TABLE = np.stack([np.isin(_ALL_HASHES, _WORD_HASHES[lang]) for lang in _LANGUAGES], 1).astype(np.float64)
+_TABLE /= _TABLE.sum(1, keepdims=True) ** 2
 
 
 def language_counts(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Function words of each language in each text (texts x languages)."""
+    """Weight of the function words of each language in each text (texts x languages)."""
     where = np.minimum(np.searchsorted(_ALL_HASHES, h), len(_ALL_HASHES) - 1)
     found = np.flatnonzero(_ALL_HASHES[where] == h)
-    sums = np.zeros((len(found) + 1, len(_LANGUAGES)), np.int64)
+    sums = np.zeros((len(found) + 1, len(_LANGUAGES)))
     np.cumsum(_TABLE[where[found]], axis=0, out=sums[1:])
     edge = np.searchsorted(found, at)
     return sums[edge[1:]] - sums[edge[:-1]]
@@ -165,16 +167,27 @@ def languages(counts: np.ndarray, texts: list[str | None]) -> list[str | None]:
     out: list[str | None] = []
     for row, text in zip(counts, texts):
         best = int(row.argmax())
-        second = int(np.partition(row, -2)[-2])
-        if row[best] >= LEAST_WORDS and row[best] >= LEAD * second:
+        second = float(np.partition(row, -2)[-2])
+        if row[best] >= LEAST_WEIGHT and row[best] >= LEAD * second:
             out.append(_LANGUAGES[best])
-        elif text and row[best] < LEAST_WORDS and (letters := [c for c in text[:4000] if c.isalpha()]) and sum(c > "ͯ" and not "Ḁ" <= c <= "ỿ" for c in letters) > len(letters) / 2:
+        elif text and row[best] < LEAST_WEIGHT and (letters := [c for c in text[:4000] if c.isalpha()]) and sum(c > "ͯ" and not "Ḁ" <= c <= "ỿ" for c in letters) > len(letters) / 2:
             out.append("other_script")
         else:
             out.append(None)
     return out
 
 
+def elsewhere(row: np.ndarray, own: str | None, prompt: str) -> bool:
+    """Whether an answer is mainly in another language than its prompt's: some language outweighs the prompt's.
+
+    An answer in two foreign languages has no main language of its own, but it isn't in the prompt's either.
+    """
+    if own == "other_script" or prompt == "other_script":
+        return own is not None and own != prompt
+    best = int(row.argmax())
+    return _LANGUAGES[best] != prompt and row[best] >= LEAST_WEIGHT and row[best] >= LEAD * row[_LANGUAGES.index(prompt)]
+
+
 def _flag(fields: list[tuple[str, str]], prompt: str):
     """Fields: (answer, its question). Batches have rec_id first and then the texts by name."""
 
@@ -183,12 +196,13 @@ def _flag(fields: list[tuple[str, str]], prompt: str):
             ids = batch.column("rec_id").to_pylist()
             names = [n for n in batch.schema.names if n != "rec_id"]
             texts = {n: batch.column(n).to_pylist() for n in names}
-            words, sets, spoken = {}, {}, {}
+            words, sets, spoken, weights = {}, {}, {}, {}
             for n in names:
                 h, at = tokens.hash_texts(texts[n])
                 sh, starts = tokens.shingles(h, at)
                 words[n], sets[n] = (h, at), (sh, starts)
-                spoken[n] = languages(language_counts(h, at), texts[n])
+                weights[n] = language_counts(h, at)
+                spoken[n] = languages(weights[n], texts[n])
             rows: list[tuple] = []
             for answer, question in fields:
                 (ah, aat), (qh, qat) = words[answer], words[question]
@@ -209,7 +223,7 @@ def _flag(fields: list[tuple[str, str]], prompt: str):
                             alike = both / (len(a) + len(q) - both) if both else float(0 < len(aw) < 3 and len(aw) == len(qw) and bool((aw == qw).all()))
                             if alike >= COPY_SIMILARITY:
                                 defect, detail = "copy", lcs_length(qw.tolist(), aw.tolist()) / max(1, len(qw))
-                        if not defect and (theirs := spoken[prompt][i]) and (own := spoken[answer][i]) and own != theirs:
+                        if not defect and (theirs := spoken[prompt][i]) and elsewhere(weights[answer][i], spoken[answer][i], theirs):
                             defect = "other_language"
                     if defect:
                         rows.append((ids[i], answer, defect, detail))

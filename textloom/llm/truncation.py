@@ -56,6 +56,8 @@ _CLOSING = (
     r"|(?:p\.?\s?s\.?|n\.?\s?b\.?|notes?|source|sources|ref|refs|page|words?|word count)\b[^.!?]{0,60}[\p{N})\]]"  # a note that ends in a number
     r")$"
 )
+#: A line of its own that names a topic behind a label.
+_LABELLED = r"(?i)^(?:essay )?(?:topic|subject|title|theme|keywords?|tags?|sujet|thème|thema|tema|asunto|assunto)\s*:\s*\S.{0,140}$"
 _BULLET = r"^\s*(?:[-*•·–+]|\p{N}{1,2}[.)])\s+"
 
 
@@ -90,7 +92,7 @@ def ending(tail: Column) -> Column:
         .when(tail.rlike(r"(?:^|[\s(])(?:\p{N}+|\p{Lu}|Mr|Mrs|Ms|Dr|St|e\.g|i\.e|z\.B)\.$"), "weak")
         .when(tail.rlike(r'[.!?。！？؟]["\'”’“»«)\]*_]*$'), "complete")
         .when(tail.rlike(r"[\p{So}\p{Sk}*_~]\x{FE0F}?$"), "complete")
-        .when(line.rlike(_CLOSING) | rest.rlike(_CLOSING) | tail.rlike(r"(?i)(?:^|\s)p\.\s?s\.\s[^.!?]{0,60}\p{N}$") | listed, "complete")
+        .when(line.rlike(_CLOSING) | rest.rlike(_CLOSING) | line.rlike(_LABELLED) | tail.rlike(r"(?i)(?:^|\s)p\.\s?s\.\s[^.!?]{0,60}\p{N}$") | listed, "complete")
         .when(tail.rlike(r"<[\p{L}_/][^<>]{0,30}>$"), "complete")
         .otherwise("open")
     )
