@@ -109,3 +109,10 @@ def test_plans(spark, data):
     from textloom.operators.selection import top_k
 
     assert "TakeOrderedAndProject" in top_k(df, 5, F.col("doc_id").desc())._jdf.queryExecution().executedPlan().toString()
+
+
+def test_builtin(spark):
+    from textloom.sources import builtin
+
+    assert builtin.prompts(spark).select("prompt_id").distinct().count() == 12
+    assert [r.topic for r in builtin.topics(spark, 12).orderBy("place").collect()][9:] == ["winter roads", "topic variant 10", "topic variant 11"]

@@ -108,3 +108,37 @@ def exploded_variants(df: DataFrame, prompt: str, pair_id: str) -> DataFrame:
     """A row for each rewording of the prompt, tagged and with the id of the pair it comes from."""
     made = df.where(T.truthy(prompt).isNotNull()).select("*", F.posexplode(T.variants(prompt)).alias("variant_no", "variant"))
     return made.withColumn(prompt, F.col("variant")).withColumn("source_pair_id", F.col(pair_id)).withColumn("source", F.lit("augmented")).drop("variant")
+
+
+def essay_rows(df: DataFrame, text: str, name: str = "essay") -> DataFrame:
+    """One text column, as text, stripped, under a new name; null texts are left out."""
+    return df.where(F.col(text).isNotNull()).select(T.strip(F.col(text).cast("string")).alias(name))
+
+
+def usable_essays(df: DataFrame, sources: Sequence[str] | None = None, baseline: str = "baseline_essay", best: str = "best_essay") -> DataFrame:
+    """Rows with both essays, of the given sources if any are given."""
+    both = T.truthy(baseline).isNotNull() & T.truthy(best).isNotNull()
+    return df.where(both & (F.col("source").isin(*sources) if sources else F.lit(True)))
+
+
+def training_record(df: DataFrame, names: dict[str, str], prefix: str = "") -> DataFrame:
+    """The columns of a training record under their new names; the first one gets a prefix in front of its text."""
+    first, *rest = names.items()
+    return df.select(F.concat(F.lit(prefix), F.col(first[0])).alias(first[1]), *(F.col(a).alias(b) for a, b in rest))
+
+
+def training_rows(df: DataFrame, text: str, score: str, buckets: int, max_tokens: int = 512) -> DataFrame:
+    """(tokens, bucket): the first tokens of each text and the bucket of its score."""
+    return df.select(F.slice(T.word_list(text), 1, max_tokens).alias("tokens"), bucketize(F.col(score), buckets).alias("bucket"))
+
+
+def nested_fields(df: DataFrame, **fields: str) -> DataFrame:
+    """``df`` with numbers taken from nested fields by path; null where a struct or a number is missing."""
+    return df.withColumns({name: F.col(path).try_cast("double") for name, path in fields.items()})
+
+
+def held_out_or_head(held_out: DataFrame, df: DataFrame, *order: Column) -> DataFrame:
+    """The held-out rows; without any, the first max(1, n // 10) rows in the given order."""
+    if held_out.limit(1).count():
+        return held_out
+    return df.orderBy(*order).limit(max(1, df.count() // 10))
