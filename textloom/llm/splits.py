@@ -31,8 +31,8 @@ from pyspark.sql.types import StringType
 
 from textloom.session import materialise
 
-BINS = 100
-BUCKET = 4000
+BINS = 200
+BUCKET = 2000
 #: Bucket tuples that one task combines in one level.
 FAN_IN = 256
 TARGETS = {"train": 0.70, "val": 0.15, "test": 0.15}
