@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import tokens
+from textloom.llm.components import connected_components
 from textloom.session import materialise
 
 SEGMENTS, WIDTH, CHECKS = 12, 4, 32
@@ -132,16 +133,7 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, min_words:
     classed = with_class(df, id_col, text_col, min_words)
     pairs = materialise(class_pairs(class_texts(classed), threshold))
     both = pairs.select(F.col("a").alias("cls"), F.col("b").alias("other")).union(pairs.select("b", "a"))
-    links = both.groupBy("cls").agg(F.count("*").alias("links"), F.least(F.min("other"), F.col("cls")).alias("label"))
-    labels = materialise(links)
-    while True:
-        near = both.join(labels.select(F.col("cls").alias("other"), "label"), "other").groupBy("cls").agg(F.min("label").alias("near"))
-        step = labels.join(near, "cls").select("cls", "links", F.col("label").alias("old"), F.least("label", "near").alias("m"))
-        jump = labels.select(F.col("cls").alias("m"), F.col("label").alias("further"))
-        new = materialise(step.join(jump, "m", "left").select("cls", "links", "old", F.least("m", F.coalesce("further", "m")).alias("label")))
-        labels = new.select("cls", "links", "label")
-        if not new.where("old <> label").limit(1).count():
-            break
+    labels = connected_components(pairs.select("a", "b")).withColumnRenamed("v", "cls").join(both.groupBy("cls").agg(F.count("*").alias("links")), "cls")
     members = classed.select(F.col("rec").alias("rec_id"), "cls")
     copies = members.groupBy("cls").agg(F.count("*").alias("n"))
     found = members.join(copies, "cls").join(labels, "cls", "left").where("n > 1 or links is not null")

@@ -1,8 +1,8 @@
 """Splits that keep related records together, balanced by largest differencing.
 
 1. Records are joined into components: all records with one value of any key column are related, directly or
-   through others. One key column needs one aggregation; several go through min-label propagation with path
-   halving over a graph of key values (not of record pairs), checkpointed every round.
+   through others. One key column needs one aggregation; several go through the connected components of a
+   graph of key values (not of record pairs).
 2. Component weights (rows, pre-aggregated) are balanced by multi-way largest differencing into ``BINS`` equal
    bins: bin tuples start as (weight, 0, …); the two tuples with the widest spread are combined, the largest
    part of one with the smallest of the other, again and again until one is left. Components are dealt by hash to
@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from textloom.llm.components import connected_components
 from textloom.session import materialise
 
 BINS = 200
@@ -70,17 +71,7 @@ def components(df: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
     if len(keys) == 1:
         return base.select(id_col, F.col("_first").alias("component"))
     edges = base.where(F.size("_nodes") > 1).select(F.col("_first").alias("a"), F.explode("_nodes").alias("b")).where("a <> b").distinct()
-    edges = materialise(edges.union(edges.select(F.col("b"), F.col("a"))).distinct())
-    labels = materialise(edges.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
-    while True:
-        near = edges.join(labels.withColumnRenamed("v", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.v == near.a, "left").select("v", "label", F.least("label", F.coalesce("near", "label")).alias("m"))
-        jump = labels.select(F.col("v").alias("m"), F.col("label").alias("further"))
-        new = materialise(step.join(jump, "m", "left").select("v", F.col("label").alias("old"), F.least("m", F.coalesce("further", "m")).alias("label")))
-        moved = new.where("old <> label").limit(1).count()
-        labels = new.select("v", "label")
-        if not moved:
-            break
+    labels = connected_components(edges)
     named = labels.withColumnRenamed("v", "_first")
     return base.join(named, "_first", "left").select(id_col, F.coalesce("label", "_first").alias("component"))
 
