@@ -133,11 +133,32 @@ def first_words(c: Column | str, n: int) -> Column:
     return F.array_join(F.slice(word_list(c), 1, n), " ")
 
 
+# Fixed wording of the requests for a title and for a mirror essay, and the line above example passages.
+TITLE_HEAD = "What is a concise, descriptive title for the following essay?\n\n"
+TITLE_TAIL = "\n\nRespond with ONLY the title — no quotation marks, no explanation, no preamble."
+MIRROR_HEAD = "Write an essay with the following title:\n\nTitle: "
+MIRROR_LENGTH = "\n\nRequirements:\n- Length: between %d and %d words\n"
+MIRROR_RULES = (
+    "- Write in a thoughtful, personal voice as if written by a knowledgeable human author\n"
+    "- Do NOT include the title at the top of your response\n"
+    "- Do NOT include any preamble, word count, headers, or closing remarks\n"
+    "- Begin directly with the first sentence of the essay body"
+)
+FEWSHOT_HEAD = (
+    "Below are example passages that scored well on the primary detector (lower score = more human-like). "
+    "Use them only as loose style guidance; write a new essay for the assigned topic—do not copy or paraphrase them verbatim."
+)
+
+
 def title_prompt(c: Column | str) -> Column:
     """The request for a title, over the first 800 words of a text."""
-    head = "What is a concise, descriptive title for the following essay?\n\n"
-    tail = "\n\nRespond with ONLY the title — no quotation marks, no explanation, no preamble."
-    return F.concat(F.lit(head), first_words(c, 800), F.lit(tail))
+    return F.concat(F.lit(TITLE_HEAD), first_words(c, 800), F.lit(TITLE_TAIL))
+
+
+def mirror_prompt(title: Column | str, words: Column | str) -> Column:
+    """The request for an essay of a title, of 85 to 115 % of a number of words."""
+    low, high = length_band(words)
+    return F.concat(F.lit(MIRROR_HEAD), _col(title), F.format_string(MIRROR_LENGTH, low, high), F.lit(MIRROR_RULES))
 
 
 def length_band(words: Column | str) -> tuple[Column, Column]:
@@ -188,12 +209,6 @@ def full_text(system: Column, template: Column, style: Column) -> Column:
     return F.array_join(F.filter(parts, lambda p: p != ""), "\n\n")
 
 
-FEWSHOT_HEAD = (
-    "Below are example passages that scored well on the primary detector (lower score = more human-like). "
-    "Use them only as loose style guidance; write a new essay for the assigned topic—do not copy or paraphrase them verbatim."
-)
-
-
 def fewshot_block(examples: Column, max_chars: int = 3500) -> Column:
     """Numbered example passages, long ones cut with a mark; an empty text without examples."""
     body = lambda e: F.when(F.length(strip(e)) > max_chars, F.concat(F.substring(strip(e), 1, max_chars), F.lit("\n[... truncated ...]"))).otherwise(strip(e))

@@ -136,8 +136,6 @@ def _variants(c: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     deciles = "greatest(0, least(9, floor(x * 10)))"
-    title_head = "What is a concise, descriptive title for the following essay?"
-    title_tail = "Respond with ONLY the title — no quotation marks, no explanation, no preamble."
     keywords = " OR ".join(f"contains(lower(s), '{k}')" for k in ("nobody", "price", "difference", "critics", "rarely"))
     wanted = " OR ".join(f"contains(lower(instruction), '{k}')" for k in T.KEYWORDS)
     out = {
@@ -148,7 +146,9 @@ def oracle_sql() -> dict[str, str]:
         "labels": f"SELECT doc_id, {bucket('x', 11)} AS b11, {bucket('x', 4)} AS b4, {bucket('x', 2)} AS b2, (x >= 0.5)::INTEGER AS y, {ternary('x')} AS t FROM (SELECT doc_id, {CLAMPED} AS x FROM documents) WHERE x IS NOT NULL",
         "clean_boilerplate": f"SELECT doc_id, sha256(c) AS cleaned FROM (SELECT doc_id, {_cleaned('text')} AS c FROM documents WHERE text IS NOT NULL) WHERE len({words('c')}) >= 50",
         "clean_title": f"""SELECT seq, {strip("regexp_replace(" + strip("regexp_replace(" + strip('topic') + ", '^[\"'']|[\"'']$', '', 'g')") + f", '(?i)^(?:Title|Subject):{WS}*', '')")} AS title FROM topic_sources WHERE topic IS NOT NULL""",
-        "title_prompt": f"SELECT doc_id, sha256('{title_head}' || chr(10) || chr(10) || array_to_string(w[1:800], ' ') || chr(10) || chr(10) || '{title_tail}') AS prompt, floor(len(w)::DOUBLE * 0.85::DOUBLE)::INTEGER AS low, floor(len(w)::DOUBLE * 1.15::DOUBLE)::INTEGER AS high FROM (SELECT doc_id, {words('text')} AS w FROM documents WHERE text IS NOT NULL)",
+        "title_prompt": f"""WITH x AS (SELECT doc_id, coalesce(source, '') AS source, {words('text')} AS w FROM documents WHERE text IS NOT NULL),
+y AS (SELECT *, floor(len(w)::DOUBLE * 0.85::DOUBLE)::INTEGER AS low, floor(len(w)::DOUBLE * 1.15::DOUBLE)::INTEGER AS high FROM x)
+SELECT doc_id, sha256('{T.TITLE_HEAD}' || array_to_string(w[1:800], ' ') || '{T.TITLE_TAIL}') AS prompt, low, high, sha256('{T.MIRROR_HEAD}' || source || printf('{T.MIRROR_LENGTH}', low, high) || '{T.MIRROR_RULES}') AS mirror FROM y""",
         "mirror_rows": "SELECT rec_id AS mirror_idx, 0.0::DOUBLE AS score, length(best_essay)::INTEGER AS n_chars FROM prompt_pairs WHERE baseline_essay IS NOT NULL AND best_essay IS NOT NULL UNION ALL SELECT rec_id, 1.0::DOUBLE, length(baseline_essay)::INTEGER FROM prompt_pairs WHERE baseline_essay IS NOT NULL AND best_essay IS NOT NULL",
         "label_balance": f"SELECT a AS n_human, b AS n_ai, least(a, b) AS n_pairs, least(a, b) >= 2000 AS enough FROM (SELECT count(*) FILTER (x < 0.5) AS a, count(*) FILTER (x >= 0.5) AS b FROM (SELECT {CLAMPED} AS x FROM documents))",
         "missing_prompts": f"SELECT rec_id FROM prompt_pairs WHERE {strip(chr(99) + 'oalesce(input_prompt, ' + chr(39) * 2 + ')')} = '' OR {strip('coalesce(output_prompt, ' + chr(39) * 2 + ')')} = ''",
@@ -239,6 +239,10 @@ e AS (SELECT source, min(round) AS parent, max(round) AS child, arg_min(mean, ro
 SELECT rec_id, line_no, md5({_instruction('line')}) AS topic FROM e WHERE {strip('line')} <> ''""",
         "prompt_variants": f"WITH v AS (SELECT rec_id, {_variants('output_prompt')} AS vs FROM prompt_pairs WHERE output_prompt <> ''), e AS (SELECT rec_id, unnest(vs) AS v, (generate_subscripts(vs, 1) - 1)::INTEGER AS variant_no FROM v) SELECT rec_id, variant_no, md5({strip('v')}) AS variant FROM e",
         "template_fill": f"SELECT rec_id, md5(replace(replace({_canonical('output_prompt', 'topic')}, '{{topic}}', coalesce(topic, '')), '<topic>', coalesce(topic, ''))) AS prompt FROM prompt_pairs WHERE output_prompt IS NOT NULL",
+        "compose_messages": f"""WITH x AS (SELECT rec_id, {strip('input_prompt')} AS a, {strip('output_prompt')} AS b, output_prompt AS raw, {strip('baseline_essay')} AS e FROM prompt_pairs WHERE input_prompt IS NOT NULL AND output_prompt IS NOT NULL),
+y AS (SELECT *, CASE WHEN e IS NULL THEN '' ELSE '{T.FEWSHOT_HEAD}' || chr(10) || chr(10) || '--- Reference example 1 ---' || chr(10) || CASE WHEN length(e) > 300 THEN substr(e, 1, 300) || chr(10) || '[... truncated ...]' ELSE e END END AS block,
+  replace(replace(raw, '{{topic}}', '<topic>'), '{{style_instructions}}', 'plain') AS filled FROM x)
+SELECT rec_id, md5(a || chr(10) || chr(10) || CASE WHEN block = '' THEN '' ELSE {strip('block')} || chr(10) || chr(10) END || b) AS message, md5(array_to_string(list_filter([a, filled, 'plain'], lambda p: p <> ''), chr(10) || chr(10))) AS whole FROM y""",
         "lexicon_sentence_ratio": f"""WITH x AS (SELECT doc_id, string_split(regexp_replace({strip('text')}, '([.!?]){WS}+', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, round(len(list_filter(ss, lambda s: {keywords}))::DOUBLE / greatest(1, len(ss)), 6) AS ratio FROM x""",
         "word_tokens": f"SELECT doc_id, len({tokens('text')}) AS n, len(list_distinct({tokens('text')})) AS n_distinct FROM documents WHERE text IS NOT NULL",

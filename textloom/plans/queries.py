@@ -104,7 +104,8 @@ def clean_title(s, d):
 @_query
 def title_prompt(s, d):
     low, high = T.length_band(T.word_count("text"))
-    return _docs(s, d).where("text is not null").select("doc_id", F.sha2(T.title_prompt("text"), 256).alias("prompt"), low.alias("low"), high.alias("high"))
+    mirror = T.mirror_prompt(F.coalesce("source", F.lit("")), T.word_count("text"))
+    return _docs(s, d).where("text is not null").select("doc_id", F.sha2(T.title_prompt("text"), 256).alias("prompt"), low.alias("low"), high.alias("high"), F.sha2(mirror, 256).alias("mirror"))
 
 
 @_query
