@@ -5,7 +5,7 @@
    that no leaked window is without one, and common phrases are searched only where there is nothing rarer.
 2. *Join.* A second pass looks every run of ``SEED`` words of every document up in the seed table. The
    evaluation set is small by nature; its size is checked, and up to ``BROADCAST_WORDS`` words the table goes
-   to the workers as it is. Beyond that, documents and seeds are joined by seed hash in a shuffle.
+   to the workers as it is. Beyond that, items go block by block (``leaks_in_blocks``).
 3. *Alignment.* Hits of one document and item are chained by diagonal into passages, and each passage is
    aligned with the item by Smith-Waterman (word matches, substitutions and gaps), in which edits split the
    passage but do not end it. The score, the aligned words and the longest unbroken run come out.
@@ -31,6 +31,8 @@ from textloom.llm import tokens
 SEED, RUN = 6, 12
 #: Largest evaluation set (in words) that is given to the workers whole: 8 bytes a word and as much for seeds.
 BROADCAST_WORDS = 4_000_000
+#: Characters taken as a word when the size of an evaluation set is told from its characters.
+CHARS_A_WORD = 8
 MATCH, MISMATCH, GAP = 2, -2, -2
 #: Alignments below this score (as of ten matched words) are not reported.
 MIN_SCORE = 20
@@ -155,10 +157,15 @@ def _align(doc: np.ndarray, item: np.ndarray, doc_at: np.ndarray, item_at: np.nd
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score, matched, longest_run, contains): documents that hold passages of items."""
-    spark = docs.sparkSession
     size = items.agg(F.sum(F.length(text_col))).first()[0] or 0
-    if size > 8 * BROADCAST_WORDS:
-        raise ValueError(f"{size} characters of evaluation items: call leaks_in_blocks")
+    if size > CHARS_A_WORD * BROADCAST_WORDS:
+        return leaks_in_blocks(docs, items, doc_id=doc_id, item_id=item_id, text_col=text_col)
+    return _leaks(docs, items, doc_id, item_id, text_col)
+
+
+def _leaks(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text_col: str) -> DataFrame:
+    """``leaks`` for items that the workers can hold."""
+    spark = docs.sparkSession
     ids, h, at = _items(items, item_id, text_col)
     sh, first = _grams(h, at)
     if not len(sh):
@@ -195,18 +202,17 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     return ready.mapInArrow(run, f"{doc_id} bigint, {item_id} bigint, score int, matched int, longest_run int, contains boolean")
 
 
-def leaks_in_blocks(docs: DataFrame, items: DataFrame, block_chars: int = 8 * BROADCAST_WORDS, **columns) -> DataFrame:
-    """``leaks`` for evaluation sets beyond the broadcast bound: block after block of items, each within it.
+def leaks_in_blocks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", block_chars: int = CHARS_A_WORD * BROADCAST_WORDS) -> DataFrame:
+    """``leaks`` for evaluation sets beyond the bound: block after block of items, each about half of it.
 
     A stated query set against all documents, in blocks: each document is read once for each block.
     """
-    item_id, text_col = columns.get("item_id", "item_id"), columns.get("text_col", "text")
     size = items.agg(F.sum(F.length(text_col))).first()[0] or 0
     blocks = max(1, -(-2 * size // block_chars))
-    parts = [leaks(docs, items.where(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == b), **columns) for b in range(blocks)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = None
+    for b in range(blocks):
+        part = _leaks(docs, items.where(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == b), doc_id, item_id, text_col)
+        out = part if out is None else out.unionByName(part)
     return out
 
 

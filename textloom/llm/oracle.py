@@ -49,6 +49,13 @@ SELECT least(a.rec_id, b.rec_id) AS rec_id_a, greatest(a.rec_id, b.rec_id) AS re
 FROM each a JOIN each b ON a.sh = b.sh AND a.split = 'train' AND b.split IN ('val', 'test')
 JOIN sizes x ON x.rec_id = a.rec_id JOIN sizes y ON y.rec_id = b.rec_id
 GROUP BY a.rec_id, b.rec_id, x.n, y.n HAVING count(*) >= 0.5 * (x.n + y.n - count(*))""",
+        "p3_report": f"""
+WITH {_ESSAYS}, {_SHINGLES.format(key='rec_id, split, source', text='text', table='essays', least=50)},
+pairs AS (SELECT a.rec_id AS train_id, b.rec_id AS eval_id, b.split AS eval_split, b.source AS eval_source, count(*) = x.n AND count(*) = y.n AS same
+  FROM each a JOIN each b ON a.sh = b.sh AND a.split = 'train' AND b.split IN ('val', 'test')
+  JOIN sizes x ON x.rec_id = a.rec_id JOIN sizes y ON y.rec_id = b.rec_id
+  GROUP BY a.rec_id, b.rec_id, b.split, b.source, x.n, y.n HAVING count(*) >= 0.5 * (x.n + y.n - count(*)))
+SELECT eval_split, eval_source, count(DISTINCT eval_id) AS leaked_records, count(DISTINCT train_id) AS train_records, count(*) AS pairs, count(*) FILTER (same) AS exact_pairs FROM pairs GROUP BY ALL""",
         "p4_sample": f"""
 SELECT sample_key, topic, input_prompt, output_prompt, count(*) AS n_rows, min(rec_id) AS first_rec_id
 FROM (SELECT *, {key} AS sample_key FROM prompt_pairs)
