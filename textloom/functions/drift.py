@@ -21,9 +21,11 @@ class Weights:
     bertscore: float = 0.5
 
 
-def lcs(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, one machine word operation per row of the table."""
-    where: dict[str, int] = {}
+def lcs(a: list, b: list) -> int:
+    """Length of the longest common subsequence: a row of the table is one integer (bit-parallel)."""
+    if not a or not b:
+        return 0
+    where: dict = {}
     for i, x in enumerate(a):
         where[x] = where.get(x, 0) | (1 << i)
     row = full = (1 << len(a)) - 1
