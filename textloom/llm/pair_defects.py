@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.drift import lcs as lcs_length
 from textloom.llm import tokens
 from textloom.llm.blank import is_blank
 from textloom.llm.truncation import endings
@@ -119,26 +120,15 @@ _TEMPLATES: dict[str, list[list[str]]] = {}
 for _line in REFUSALS.strip().splitlines():
     for _tokens in _expand(_line):
         _TEMPLATES.setdefault(_tokens[0], []).append(_tokens)
-
-
-def lcs_length(a: list, b: list) -> int:
-    """Length of the longest common subsequence, bit-parallel."""
-    if not a or not b:
-        return 0
-    where: dict = {}
-    for i, x in enumerate(a):
-        where[x] = where.get(x, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
-    for y in b:
-        both = row & where.get(y, 0)
-        row = ((row + both) | (row - both)) & full
-    return len(a) - row.bit_count()
+#: Words after the last start that a template and its gaps can reach.
+_LONGEST = max(len(t) for ts in _TEMPLATES.values() for t in ts) + SLACK
 
 
 def is_refusal(text: str) -> bool:
     """Whether the opening of a text, quotations left out, contains a refusal template in order."""
-    opening = _refusal_tokens(_QUOTED.sub(" ", text[:2000])[:600])
+    unquoted = _QUOTED.sub(" ", text)
+    end = next((m.end() for i, m in enumerate(_TOKEN.finditer(unquoted)) if i == OPENING + _LONGEST), len(unquoted))
+    opening = _refusal_tokens(unquoted[:end])
     for i, word in enumerate(opening[: OPENING + 1]):
         for template in _TEMPLATES.get(word, ()):
             if lcs_length(template, opening[i : i + len(template) + SLACK]) == len(template):
@@ -170,7 +160,7 @@ def languages(counts: np.ndarray, texts: list[str | None]) -> list[str | None]:
         second = float(np.partition(row, -2)[-2])
         if row[best] >= LEAST_WEIGHT and row[best] >= LEAD * second:
             out.append(_LANGUAGES[best])
-        elif text and row[best] < LEAST_WEIGHT and (letters := [c for c in text[:4000] if c.isalpha()]) and sum(c > "ͯ" and not "Ḁ" <= c <= "ỿ" for c in letters) > len(letters) / 2:
+        elif text and row[best] < LEAST_WEIGHT and (letters := [c for c in text if c.isalpha()]) and sum(c > "ͯ" and not "Ḁ" <= c <= "ỿ" for c in letters) > len(letters) / 2:
             out.append("other_script")
         else:
             out.append(None)
