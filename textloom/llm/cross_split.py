@@ -126,8 +126,9 @@ def cross_split_classes(records: DataFrame, manifest: DataFrame | None = None, m
     """
     prints = _sketches(records.select("rec_id", "pair_id", "split", "source", "text").where("text is not null"), min_words)
     if manifest is not None:
-        listed = split_members(manifest).withColumnRenamed("split", "listed")
-        prints = prints.join(listed, "pair_id", "left").withColumn("split", F.coalesce("split", "listed")).drop("listed")
+        listed = split_members(manifest).select(F.col("pair_id").alias("_key"), F.col("split").alias("listed"))
+        spread = F.coalesce("pair_id", F.concat(F.lit("\x00"), F.col("rec_id").cast("string")))  # records without a pair id must not meet in one task
+        prints = prints.withColumn("_key", spread).join(listed, "_key", "left").withColumn("split", F.coalesce("split", "listed")).drop("listed", "_key")
     prints = materialise(prints.drop("pair_id").where(F.col("split").isin(*train, *evaluation)))
     one = prints.withColumn("side", F.when(F.col("split").isin(*train), "t").otherwise("e")).dropDuplicates(["cls", "side"])
     eval_side, train_side = one.where("side = 'e'"), one.where("side = 't'")
