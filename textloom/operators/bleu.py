@@ -31,6 +31,7 @@ def self_bleu(df: DataFrame, key: str, text: str, by: str) -> DataFrame:
     values = counts.groupBy("_by", "_o", "_g", "_c").agg(F.count("*").alias("_m"))
     top = values.groupBy("_by", "_o", "_g").agg(F.max(F.struct("_c", "_m")).alias("_t"), F.array_sort(F.collect_list("_c")).alias("_cs"))
     top = top.select("_by", "_o", "_g", F.col("_t._c").alias("_c1"), F.col("_t._m").alias("_m1"), F.coalesce(F.try_element_at("_cs", F.lit(-2)), F.lit(0)).alias("_c2"))
+    top = top.where("_m1 > 1 or _c2 > 0")  # an n-gram of one document alone matches nothing
     other = F.when((F.col("_c") < F.col("_c1")) | (F.col("_m1") > 1), F.col("_c1")).otherwise(F.col("_c2"))
     clipped = counts.join(top, ["_by", "_o", "_g"]).groupBy("_by", "_key", "_o").agg(F.sum(F.least("_c", other)).alias("_hit"))
     hits = clipped.groupBy("_by", "_key").agg(*(F.sum(F.when(F.col("_o") == n, F.col("_hit"))).alias(f"_h{n}") for n in range(1, ORDERS + 1)))
