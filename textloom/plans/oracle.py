@@ -247,6 +247,15 @@ SELECT rec_id, md5(a || chr(10) || chr(10) || CASE WHEN block = '' THEN '' ELSE
 SELECT doc_id, round(len(list_filter(ss, lambda s: {keywords}))::DOUBLE / greatest(1, len(ss)), 6) AS ratio FROM x""",
         "word_tokens": f"SELECT doc_id, len({tokens('text')}) AS n, len(list_distinct({tokens('text')})) AS n_distinct FROM documents WHERE text IS NOT NULL",
         "json_preview": "SELECT doc_id, md5(CASE WHEN length(text) > 120 THEN substr(text, 1, 120) || '…' ELSE text END) AS preview, CASE WHEN NOT isnan(score) AND abs(score) <> 'inf'::DOUBLE THEN score END AS score FROM documents WHERE text IS NOT NULL",
+        "self_bleu": f"""WITH d AS (SELECT source, rec_id, {tokens('text')} AS w FROM fool_essays WHERE text IS NOT NULL), n AS (SELECT unnest([1, 2, 3, 4]) AS o),
+g AS (SELECT source, rec_id, o, unnest(list_transform(range(1, len(w) - o + 2), lambda i: array_to_string(w[i:i + o - 1], ' '))) AS g FROM d, n WHERE len(w) >= o),
+c AS (SELECT source, rec_id, o, g, count(*) AS c FROM g GROUP BY ALL),
+m AS (SELECT a.source, a.rec_id, a.o, least(min(a.c), max(b.c)) AS hit FROM c a JOIN c b ON a.source = b.source AND a.o = b.o AND a.g = b.g AND a.rec_id <> b.rec_id GROUP BY a.source, a.rec_id, a.o, a.g),
+h AS (SELECT source, rec_id, o, sum(hit) AS h FROM m GROUP BY ALL),
+r AS (SELECT a.source, a.rec_id, len(a.w) AS n, arg_min(len(b.w), abs(len(b.w) - len(a.w)) * 1000000 + len(b.w)) AS ref FROM d a JOIN d b ON a.source = b.source AND a.rec_id <> b.rec_id GROUP BY a.source, a.rec_id, a.w),
+l AS (SELECT r.source, r.rec_id, r.n, ref, sum(ln((CASE WHEN coalesce(h, 0) > 0 THEN h::DOUBLE ELSE 0.1::DOUBLE END) / greatest(1, r.n - o + 1))) / 4 AS s, coalesce(max(h) FILTER (o = 1), 0) AS h1 FROM r CROSS JOIN n LEFT JOIN h USING (source, rec_id, o) GROUP BY ALL),
+b AS (SELECT source, rec_id, CASE WHEN h1 = 0 THEN 0.0 ELSE exp(s) * CASE WHEN n > ref THEN 1.0 ELSE exp(1 - ref::DOUBLE / greatest(n, 1)) END END AS score FROM l)
+SELECT source, count(*) AS n_docs, CASE WHEN count(*) < 2 THEN 'nan'::DOUBLE ELSE round(avg(score), 6) END AS self_bleu FROM d LEFT JOIN b USING (source, rec_id) GROUP BY source""",
         "drift_penalty": """WITH x AS (SELECT rec_id, output_slop_score AS s, greatest(0.0, least(1.0, improvement)) AS a, greatest(0.0, least(1.0, output_slop_score * 2)) AS b, CASE WHEN output_slop_score <= 0.42 THEN greatest(0.0, least(1.0, output_slop_score)) ELSE 0.0 END AS c FROM prompt_pairs WHERE output_slop_score IS NOT NULL AND improvement IS NOT NULL),
 y AS (SELECT *, 1.0::DOUBLE * a + 0.35::DOUBLE * b + 0.5::DOUBLE * c AS p FROM x) SELECT rec_id, round(p, 6) AS penalty, s <= 0.42 AS bertscore_applied, round(s + p, 6) AS objective FROM y""",
         "drift_grid": """WITH p AS (SELECT output_slop_score AS s, output_slop_score / 2 AS a, output_slop_score / 3 AS b, output_slop_score / 5 AS c FROM prompt_pairs WHERE output_slop_score IS NOT NULL),
