@@ -127,8 +127,8 @@ def class_pairs(texts: DataFrame, threshold: float) -> DataFrame:
 def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, min_words: int = 8, threshold: float = 0.5) -> DataFrame:
     """(rec_id, group_id, links): the group of every row that has a near or exact copy.
 
-    Groups are the connected components of the links between different texts; links counts the different
-    texts that a row's text is linked to. Exact copies share their class and need no links among them.
+    Groups are the connected components of the links between different texts, named by their smallest id; links
+    counts the different texts that a row's text is linked to. Exact copies share their class and need no links among them.
     """
     classed = with_class(df, id_col, text_col, min_words)
     pairs = materialise(class_pairs(class_texts(classed), threshold))
@@ -136,8 +136,9 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, min_words:
     labels = connected_components(pairs.select("a", "b")).withColumnRenamed("v", "cls").join(both.groupBy("cls").agg(F.count("*").alias("links")), "cls")
     members = classed.select(F.col("rec").alias("rec_id"), "cls")
     copies = members.groupBy("cls").agg(F.count("*").alias("n"))
-    found = members.join(copies, "cls").join(labels, "cls", "left").where("n > 1 or links is not null")
-    return found.select("rec_id", F.coalesce("label", "cls").alias("group_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+    found = members.join(copies, "cls").join(labels, "cls", "left").where("n > 1 or links is not null").withColumn("label", F.coalesce("label", "cls"))
+    first = found.groupBy("label").agg(F.min("rec_id").alias("group_id"))
+    return found.join(first, "label").select("rec_id", "group_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, min_words: int = 8, threshold: float = 0.5) -> DataFrame:

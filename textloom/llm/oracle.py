@@ -63,6 +63,15 @@ WHERE ('0x' || substr(sample_key, 1, {DIGITS}))::BIGINT::DOUBLE / {float(16**DIG
 GROUP BY ALL""",
         "p5_found": "SELECT rec_id FROM (SELECT rec_id, best_essay AS text FROM prompt_pairs UNION ALL SELECT rec_id, text FROM fool_essays) WHERE length(text) > 6000",
         "p6_found": f"WITH {fields}, {_SHINGLES.format(key='rec_id, field', text='text', table='fields', least=8)} {_near('input_prompt')} UNION ALL {_near('output_prompt')}",
+        "p6_groups": f"""
+WITH RECURSIVE {fields}, {_SHINGLES.format(key='rec_id, field', text='text', table='fields', least=8)},
+pairs AS ({_near('input_prompt')} UNION ALL {_near('output_prompt')}),
+both_ways AS (SELECT field, rec_id_a AS a, rec_id_b AS b FROM pairs UNION ALL SELECT field, rec_id_b, rec_id_a FROM pairs),
+reach(field, a, b) AS (SELECT DISTINCT field, a, a FROM both_ways UNION SELECT r.field, r.a, e.b FROM reach r JOIN both_ways e ON e.field = r.field AND e.a = r.b),
+grouped AS (SELECT field, a AS rec_id, min(b) AS group_id FROM reach GROUP BY field, a),
+texts AS (SELECT field, rec_id, array_to_string(w, ' ') AS t FROM long),
+linked AS (SELECT e.field, e.a AS rec_id, count(DISTINCT y.t) AS links FROM both_ways e JOIN texts x ON x.field = e.field AND x.rec_id = e.a JOIN texts y ON y.field = e.field AND y.rec_id = e.b WHERE x.t <> y.t GROUP BY ALL)
+SELECT field, rec_id, group_id, coalesce(links, 0) AS links FROM grouped LEFT JOIN linked USING (field, rec_id)""",
         "p9_found": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w FROM heldout_items),
