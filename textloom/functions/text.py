@@ -27,6 +27,12 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), f"^[{WS}]+|[{WS}]+$", "")
 
 
+def strip_long(c: Column | str) -> Column:
+    """``strip`` for long texts: the text is searched only if a blank is at one of its ends."""
+    ends = lambda t: F.concat(F.substring(t, 1, 1), F.substring(t, -1, 1)).rlike(f"[{WS}]")
+    return let(_col(c), lambda t: F.when(ends(t), strip(t)).otherwise(t))
+
+
 def word_list(c: Column | str) -> Column:
     """The blank-separated words of a text; none for a blank text."""
     return F.filter(F.split(_col(c), f"[{WS}]+"), lambda w: w != "")
@@ -120,7 +126,7 @@ def collapse_newlines(c: Column | str) -> Column:
 def clean_output(c: Column | str, min_words: int = 50, normalise: bool = True) -> Column:
     """A generated text without preamble, closing remark and emoji; null under ``min_words`` words."""
     text = nfkc(_col(c)) if normalise else _col(c)
-    text = strip(collapse_newlines(without_boilerplate(plain_quotes(without_emoji(text)))))
+    text = strip_long(collapse_newlines(without_boilerplate(plain_quotes(without_emoji(text)))))
     return let(text, lambda t: F.when(word_count(t) >= min_words, t))
 
 

@@ -13,6 +13,15 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
+def present(value: Column) -> Column:
+    """A generator of the value where it isn't null, of no row where it is.
+
+    A filter on a computed column is pushed below the projection and computes the column a second time; this
+    computes it once.
+    """
+    return F.explode(F.array_compact(F.array(value)))
+
+
 def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
 

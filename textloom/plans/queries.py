@@ -66,7 +66,8 @@ def len_filter_dedup(s, d):
 
 @_query
 def word_count_gate(s, d):
-    return _docs(s, d).select("doc_id", T.word_count("text").cast("bigint").alias("n_words")).where("n_words >= 150")
+    enough = V.let(T.word_count("text").cast("bigint"), lambda n: F.when(n >= 150, n))
+    return _docs(s, d).select("doc_id", V.present(enough).alias("n_words"))
 
 
 @_query
@@ -88,12 +89,13 @@ def labels(s, d):
 
 @_query
 def clean_boilerplate(s, d):
-    return _docs(s, d).where("text is not null").select("doc_id", F.sha2(T.clean_output("text", 50, normalise=False), 256).alias("cleaned")).where("cleaned is not null")
+    cleaned = _docs(s, d).where("text is not null").select("doc_id", V.present(T.clean_output("text", 50, normalise=False)).alias("cleaned"))
+    return cleaned.select("doc_id", F.sha2("cleaned", 256).alias("cleaned"))
 
 
 @_query
 def clean_output_nfkc(s, d):
-    return _docs(s, d).where("text is not null").select("doc_id", T.clean_output("text", 50).alias("cleaned")).where("cleaned is not null")
+    return _docs(s, d).where("text is not null").select("doc_id", V.present(T.clean_output("text", 50)).alias("cleaned"))
 
 
 @_query
