@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.vectors import let, present
 from textloom.llm import tokens
 from textloom.llm.components import connected_components
 from textloom.session import materialise
@@ -78,8 +79,8 @@ def symbol_distance(left: str, right: str) -> str:
 def with_class(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """(rec, cls, text): the class of a text is the hash of its words; texts of too few words are left out."""
     words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    listed = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("rec"), F.col(text_col).alias("text"), words.alias("w"))
-    return listed.where(F.size("w") >= min_words).select("rec", F.xxhash64("w").alias("cls"), "text")
+    named = let(words, lambda w: F.when(F.size(w) >= min_words, F.xxhash64(w)))
+    return df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("rec"), F.col(text_col).alias("text"), present(named).alias("cls")).select("rec", "cls", "text")
 
 
 def class_texts(classed: DataFrame) -> DataFrame:
