@@ -16,9 +16,10 @@ def centroids(df: DataFrame, vector: str, *by: str) -> DataFrame:
     return means.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("centroid"))
 
 
-def pooled(df: DataFrame, vector: str, key: str, position: str, max_chunks: int = 14) -> DataFrame:
-    """The L2-normalised mean of each document's first ``max_chunks`` chunk vectors."""
-    return centroids(df.where(F.col(position) < max_chunks), vector, key).withColumn("centroid", unit(F.col("centroid")))
+def pooled(df: DataFrame, vector: str, key: str, position: str, max_chunks: int | None = 14) -> DataFrame:
+    """The L2-normalised mean of each document's first ``max_chunks`` chunk vectors; of all of them for None."""
+    first = df if max_chunks is None else df.where(F.col(position) < max_chunks)
+    return centroids(first, vector, key).withColumn("centroid", unit(F.col("centroid")))
 
 
 def medoids(df: DataFrame, vec_id: str, vector: str, by: str) -> DataFrame:

@@ -252,7 +252,7 @@ def centroid_mean(s, d):
 @_query
 def pooled_vector(s, d):
     parts = table(s, d, "embeddings").select((F.col("vec_id") % 50).alias("doc"), F.floor(F.col("vec_id") / 50).alias("chunk"), "embedding")
-    return G.pooled(parts, "embedding", "doc", "chunk").select("doc", F.posexplode("centroid").alias("pos", "value")).select("doc", "pos", F.round("value", 5).alias("value"))
+    return G.pooled(parts, "embedding", "doc", "chunk", max_chunks=None).select("doc", F.posexplode("centroid").alias("pos", "value")).select("doc", "pos", F.round("value", 5).alias("value"))
 
 
 @_query
