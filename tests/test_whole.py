@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from conftest import rows_of
 
 from textloom.operators import vectors as G
 from textloom.plans import queries
@@ -23,3 +24,11 @@ def test_pooled_keeps_its_optional_limit(spark):
     df = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 14, [0.0, 1.0])], "doc long, chunk long, e array<double>")
     assert G.pooled(df, "e", "doc", "chunk").first().centroid == [1.0, 0.0]
     assert G.pooled(df, "e", "doc", "chunk", None).first().centroid == pytest.approx([0.5**0.5] * 2)
+
+
+def test_char_chunks_reach_the_end(spark, tmp_path):
+    texts = [(1, "x" * 5600), (2, "y" * 30001), (3, "z" * 399), (4, ""), (5, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = rows_of(QUERIES["char_chunks"](spark, str(tmp_path)))
+    assert got == [(i, k, min(400, len(t) - 400 * k)) for i, t in texts if t for k in range(-(-len(t) // 400))]
+    assert sum(n for _, _, n in got) == sum(len(t or "") for _, t in texts)

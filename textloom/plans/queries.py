@@ -178,7 +178,7 @@ def token_windows(s, d):
 
 @_query
 def char_chunks(s, d):
-    return chunks.char_chunks(_docs(s, d), "doc_id", "text", 400, 14).select("doc_id", "chunk", F.length("text").alias("n_chars"))
+    return chunks.char_chunks(_docs(s, d), "doc_id", "text", 400).select("doc_id", "chunk", F.length("text").alias("n_chars"))
 
 
 @_query
