@@ -1,9 +1,12 @@
 """Registered queries over tables longer than the limits of their operators: nothing may be left out."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from conftest import rows_of
 
+from textloom.functions import text as T
 from textloom.operators import vectors as G
 from textloom.plans import queries
 
@@ -32,3 +35,11 @@ def test_char_chunks_reach_the_end(spark, tmp_path):
     got = rows_of(QUERIES["char_chunks"](spark, str(tmp_path)))
     assert got == [(i, k, min(400, len(t) - 400 * k)) for i, t in texts if t for k in range(-(-len(t) // 400))]
     assert sum(n for _, _, n in got) == sum(len(t or "") for _, t in texts)
+
+
+def test_compose_messages_hold_whole_examples(spark, tmp_path):
+    essays = [(1, "a" * 301), (2, "b" * 4000 + " "), (3, "short"), (4, None)]
+    spark.createDataFrame([(i, " s ", "u", e) for i, e in essays], "rec_id long, input_prompt string, output_prompt string, baseline_essay string").write.parquet(str(tmp_path / "prompt_pairs.parquet"))
+    block = lambda e: f"{T.FEWSHOT_HEAD}\n\n--- Reference example 1 ---\n{e.strip()}\n\n" if e else ""
+    want = [(i, hashlib.md5(f"s\n\n{block(e)}u".encode()).hexdigest()) for i, e in essays]
+    assert rows_of(QUERIES["compose_messages"](spark, str(tmp_path)), "rec_id", "message") == want

@@ -215,9 +215,9 @@ def full_text(system: Column, template: Column, style: Column) -> Column:
     return F.array_join(F.filter(parts, lambda p: p != ""), "\n\n")
 
 
-def fewshot_block(examples: Column, max_chars: int = 3500) -> Column:
-    """Numbered example passages, long ones cut with a mark; an empty text without examples."""
-    body = lambda e: F.when(F.length(strip(e)) > max_chars, F.concat(F.substring(strip(e), 1, max_chars), F.lit("\n[... truncated ...]"))).otherwise(strip(e))
+def fewshot_block(examples: Column, max_chars: int | None = 3500) -> Column:
+    """Numbered example passages, long ones cut with a mark (for None they stay whole); an empty text without examples."""
+    body = lambda e: strip(e) if max_chars is None else F.when(F.length(strip(e)) > max_chars, F.concat(F.substring(strip(e), 1, max_chars), F.lit("\n[... truncated ...]"))).otherwise(strip(e))
     blocks = F.transform(examples, lambda e, i: F.concat(F.lit("\n--- Reference example "), (i + 1).cast("string"), F.lit(" ---\n"), body(e)))
     return F.when(F.size(examples) > 0, F.array_join(F.concat(F.array(F.lit(FEWSHOT_HEAD)), blocks), "\n")).otherwise("")
 

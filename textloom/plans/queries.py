@@ -532,7 +532,7 @@ def template_fill(s, d):
 @_query
 def compose_messages(s, d):
     e = _pairs(s, d).where("input_prompt is not null and output_prompt is not null")
-    block = T.fewshot_block(F.filter(F.array("baseline_essay"), lambda x: x.isNotNull()), 300)
+    block = T.fewshot_block(F.filter(F.array("baseline_essay"), lambda x: x.isNotNull()), max_chars=None)
     return e.select("rec_id", F.md5(T.compose(F.col("input_prompt"), F.col("output_prompt"), block)).alias("message"), F.md5(T.full_text(F.col("input_prompt"), F.col("output_prompt"), F.lit("plain"))).alias("whole"))
 
 
