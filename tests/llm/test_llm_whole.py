@@ -1,0 +1,23 @@
+"""Cases that the training-data queries once left out."""
+
+import random
+
+from textloom.llm import pair_defects
+from textloom.llm import queries as Q
+
+
+def essay(rng, n, end):
+    text = " ".join(rng.choice(("mill", "sea", "rope", "valley", "wind", "boats", "stone")) for _ in range(n))
+    return text[: n - len(end)] + end
+
+
+def test_pair_defects_finds_weak_endings_at_a_limit(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(i, "alpaca", essay(rng, rng.randrange(150, 600), ".")) for i in range(600)]
+    rows += [(1000 + i, "alpaca", essay(rng, 300, " of the")) for i in range(40)]
+    rows += [(2000, "alpaca", essay(rng, 300, " about 3.")), (2001, "alpaca", essay(rng, 347, " about 3.")), (2002, None, essay(rng, 300, " about 3.")), (2003, "alpaca", essay(rng, 300, " rope."))]
+    df = spark.createDataFrame(rows, "rec_id long, source string, best_essay string").selectExpr("*", "'Tell it.' as output_prompt", "'Tell of it.' as input_prompt", "if(rec_id = 2000, best_essay, null) as baseline_essay")
+    df.write.parquet(str(tmp_path / "prompt_pairs.parquet"))
+    got = {(r.rec_id, r.field) for r in Q.p7_found(spark, str(tmp_path)).where("defect = 'truncated'").collect()}
+    assert got == {(i, "best_essay") for i in (*range(1000, 1040), 2000)}
+    assert pair_defects.pair_defects(df.drop("source")).where("defect = 'truncated' and rec_id in (2000, 2002)").count() == 2

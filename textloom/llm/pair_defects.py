@@ -11,8 +11,8 @@
 
 An answer gets at most one defect, in the order empty, refusal, copy, other_language, truncated.
 
-Scale: one pass over the rows without any shuffle finds all but the cut answers; these come from the ends of
-the texts, and only flagged rows meet in a join.
+Scale: one pass over the rows without any shuffle finds all but the cut answers; these come from the ends and
+lengths of the texts, and only flagged rows meet in a join.
 
 Defined results: a null answer has no defect; a null or blank question gives no copy and no other_language;
 texts whose language can't be told (too few function words) are in no other language; repeated rows get the
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from textloom.functions.drift import lcs as lcs_length
 from textloom.llm import tokens
 from textloom.llm.blank import is_blank
-from textloom.llm.truncation import endings
+from textloom.llm.truncation import cut_kinds, endings
 from textloom.session import materialise
 
 COPY_SIMILARITY = 0.6
@@ -223,14 +223,16 @@ def _flag(fields: list[tuple[str, str]], prompt: str):
     return run
 
 
-def pair_defects(df: DataFrame, id_col: str = "rec_id", prompt: str = "input_prompt", fields: tuple[tuple[str, str], ...] = (("output_prompt", "input_prompt"), ("baseline_essay", "input_prompt"), ("best_essay", "output_prompt"))) -> DataFrame:
+def pair_defects(df: DataFrame, id_col: str = "rec_id", prompt: str = "input_prompt", fields: tuple[tuple[str, str], ...] = (("output_prompt", "input_prompt"), ("baseline_essay", "input_prompt"), ("best_essay", "output_prompt")), source: str | None = None) -> DataFrame:
     """(rec_id, field, defect, in_order): one row per defective answer. ``fields``: (answer, its question).
 
-    in_order is, for copies, the share of the question's words that the answer repeats in order.
+    in_order is, for copies, the share of the question's words that the answer repeats in order. Lengths at which
+    texts are cut are looked for in each field by itself, per value of the column ``source`` if one is named.
     """
     names = list(dict.fromkeys([prompt, *(n for pair in fields for n in pair)]))
     ids = F.col(id_col).cast("bigint").alias("rec_id")
     flagged = materialise(df.select(ids, *names).mapInArrow(_flag([*fields], prompt), "rec_id bigint, field string, defect string, in_order double"))
-    stacked = df.select(ids, F.explode(F.array(*(F.struct(F.lit(a).alias("field"), F.col(a).alias("text")) for a, _ in fields))).alias("x")).select("rec_id", "x.field", "x.text").where("text is not null")
-    cut = endings(stacked, F.col("text")).where("ending = 'open'").select("rec_id", "field", F.lit("truncated").alias("defect"), F.lit(None).cast("double").alias("in_order"))
+    origin = F.col(source).cast("string") if source else F.lit(None).cast("string")
+    stacked = df.select(ids, origin.alias("source"), F.explode(F.array(*(F.struct(F.lit(a).alias("field"), F.col(a).alias("text")) for a, _ in fields))).alias("x")).select("rec_id", F.to_json(F.struct("x.field", "source")).alias("source"), "x.field", "x.text").where("text is not null")
+    cut = cut_kinds(endings(stacked, F.col("text"))).where("kind is not null").select("rec_id", "field", F.lit("truncated").alias("defect"), F.lit(None).cast("double").alias("in_order"))
     return cut.join(flagged.select("rec_id", "field"), ["rec_id", "field"], "left_anti").unionByName(flagged)

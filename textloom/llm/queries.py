@@ -89,7 +89,7 @@ def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return pair_defects.pair_defects(table(spark, sf, "prompt_pairs")).select("rec_id", "field", "defect")
+    return pair_defects.pair_defects(table(spark, sf, "prompt_pairs"), source="source").select("rec_id", "field", "defect")
 
 
 def p7_counts(spark: SparkSession, sf: str) -> DataFrame:

@@ -142,9 +142,8 @@ def endings(df: DataFrame, text: Column) -> DataFrame:
     return out.select(*cols, "n_chars", "n_bytes", "h", F.when((F.col("_state") == "open") & F.col("_recurs"), "complete").otherwise(F.col("_state")).alias("ending"))
 
 
-def truncated(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(rec_id, source, n_chars, ending, kind): every record with its ending; kind is null where nothing was cut."""
-    base = endings(df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("rec_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")), F.col("text"))
+def cut_kinds(base: DataFrame) -> DataFrame:
+    """The rows of ``base`` (with source and what ``endings`` gives) whose ending is open or weak, with the kind of their cut or null."""
     peaks = significant_lengths(base).select(F.coalesce("source", F.lit("\x00")).alias("_s"), "unit", "len").groupBy("_s", "len").agg(F.max(F.col("unit") == "chars").alias("in_chars"), F.max(F.col("unit") == "bytes").alias("in_bytes"))
     kept = base.where(F.col("ending").isin("open", "weak"))
     keyed = kept.withColumn("_s", F.coalesce("source", F.lit("\x00")))
@@ -152,8 +151,13 @@ def truncated(df: DataFrame, id_col: str, text_col: str, source_col: str) -> Dat
     octets = peaks.where("in_bytes").select("_s", F.col("len").alias("n_bytes"), F.lit(True).alias("at_bytes"))
     hit = F.coalesce("at_chars", "at_bytes", F.lit(False))
     judged = keyed.join(chars, ["_s", "n_chars"], "left").join(octets, ["_s", "n_bytes"], "left")
-    kind = F.when(hit, "field_limit").when(F.col("ending") == "open", "transfer")
-    cut = judged.select("rec_id", "source", "n_chars", "ending", kind.alias("kind"))
+    return judged.withColumn("kind", F.when(hit, "field_limit").when(F.col("ending") == "open", "transfer"))
+
+
+def truncated(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(rec_id, source, n_chars, ending, kind): every record with its ending; kind is null where nothing was cut."""
+    base = endings(df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("rec_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")), F.col("text"))
+    cut = cut_kinds(base).select("rec_id", "source", "n_chars", "ending", "kind")
     whole = base.where(~F.col("ending").isin("open", "weak")).select("rec_id", "source", "n_chars", "ending", F.lit(None).cast("string").alias("kind"))
     return cut.unionByName(whole)
 
