@@ -2,7 +2,9 @@
 
 import random
 
-from textloom.llm import pair_defects
+from pyspark.sql import functions as F
+
+from textloom.llm import packing, pair_defects
 from textloom.llm import queries as Q
 
 
@@ -21,3 +23,14 @@ def test_pair_defects_finds_weak_endings_at_a_limit(spark, tmp_path):
     got = {(r.rec_id, r.field) for r in Q.p7_found(spark, str(tmp_path)).where("defect = 'truncated'").collect()}
     assert got == {(i, "best_essay") for i in (*range(1000, 1040), 2000)}
     assert pair_defects.pair_defects(df.drop("source")).where("defect = 'truncated' and rec_id in (2000, 2002)").count() == 2
+
+
+def test_packing_keeps_an_attention_budget_that_binds(spark):
+    counts = spark.createDataFrame([(i, n) for i, n in enumerate([5000, 2048, 1500, 1025, 1024, 0] + [700] * 20 + [90] * 50)], "doc_id long, n_tokens long")
+    budget = 2048 * 2048 // 4
+    used = {}
+    got = packing.pack(counts, attention=budget).collect()
+    for r in got:
+        used.setdefault(r.container, []).append(r.n_tokens)
+    assert all(sum(ns) <= 2048 and sum(n * n for n in ns) <= budget for ns in used.values())
+    assert sum(r.n_tokens for r in got) == counts.agg(F.sum("n_tokens")).first()[0]

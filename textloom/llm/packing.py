@@ -1,10 +1,12 @@
 """Filling fixed-capacity containers with documents: vector best-fit.
 
 Every container has three capacities: tokens, documents, and attention cost (the sum of squared lengths, which
-is what attention within documents costs). Documents are placed in decreasing length; among the open containers
+is what attention within documents costs). The default attention capacity, the square of the token capacity, is
+slack: lengths that add up to the token capacity never have squares that add up to more. A lower one binds. Documents are placed in decreasing length; among the open containers
 in which all three residuals suffice, the one is chosen whose residual vector after placement has the smallest
-weighted norm (each residual as a share of its capacity). Documents over the token capacity are cut into full
-containers and a rest, which is placed like any other; no other document is divided.
+weighted norm (each residual as a share of its capacity). Documents over the token capacity, or alone over the
+attention capacity, are cut into pieces as large as both allow and a rest, which is placed like any other; no
+other document is divided.
 
 Scale: token counts are taken in one pass without a shuffle. Items are dealt by hash into groups of about
 ``GROUP`` items, each packed by itself in one task of bounded size, so a group wastes less than one container
@@ -17,6 +19,7 @@ an empty table gives an empty result. The tokenizer's path is a parameter, its f
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,9 +94,10 @@ def best_fit(sizes: np.ndarray, capacity: int, max_documents: int, attention: in
 def pack(counts: DataFrame, capacity: int = CAPACITY, max_documents: int = MAX_DOCUMENTS, attention: int | None = None, group_size: int = GROUP) -> DataFrame:
     """(doc_id, piece, n_tokens, container): the container of every document, or of each piece of an oversized one."""
     cost = attention or capacity * capacity
-    pieces = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / capacity)).cast("int")
+    largest = min(capacity, math.isqrt(cost))
+    pieces = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / largest)).cast("int")
     items = counts.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
-    items = materialise(items.select("doc_id", "piece", F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece") * capacity).alias("n_tokens")))
+    items = materialise(items.select("doc_id", "piece", F.least(F.lit(largest), F.col("n_tokens") - F.col("piece") * largest).alias("n_tokens")))
     groups = max(1, -(-items.count() // group_size))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
