@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from textloom.llm import packing, pair_defects
+from textloom.llm import near_duplicates, packing, pair_defects
 from textloom.llm import queries as Q
 
 
@@ -34,3 +34,16 @@ def test_packing_keeps_an_attention_budget_that_binds(spark):
         used.setdefault(r.container, []).append(r.n_tokens)
     assert all(sum(ns) <= 2048 and sum(n * n for n in ns) <= budget for ns in used.values())
     assert sum(r.n_tokens for r in got) == counts.agg(F.sum("n_tokens")).first()[0]
+
+
+def test_near_duplicate_classes_expand_to_the_pairs(spark):
+    first, other = "the mill by the sea has a rope for every boat of the valley", "nobody saw the wind turn over the old stone harbour that night"
+    texts = [first, first, first + " today", first + " today", other, other.upper(), "too short", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    pairs, members = near_duplicates.near_duplicate_classes(df, "id", "t")
+    held = {}
+    for r in members.collect():
+        held.setdefault(r.cls, []).append(r.rec)
+    assert sorted(sorted(m) for m in held.values()) == [[0, 1], [2, 3], [4, 5]] and pairs.count() == 1
+    spread = {(min(x, y), max(x, y)) for r in pairs.collect() for x in held[r.a] for y in held[r.b]} | {(x, y) for m in held.values() for x in m for y in m if x < y}
+    assert spread == {(r.rec_id_a, r.rec_id_b) for r in near_duplicates.near_duplicate_pairs(df, "id", "t").collect()} and len(spread) == 7

@@ -142,14 +142,22 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, min_words:
     return found.join(first, "label").select("rec_id", "group_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 
+def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, min_words: int = 8, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): pairs (a, b, similarity), a < b, of linked classes, and the class (rec, cls) of every row.
+
+    Copies are one class and stay so: rows of one class are pairs of similarity 1 that aren't listed.
+    """
+    classed = with_class(df, id_col, text_col, min_words)
+    members = materialise(classed.select("rec", "cls"))
+    return class_pairs(class_texts(classed), threshold), members
+
+
 def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, min_words: int = 8, threshold: float = 0.5) -> DataFrame:
     """(rec_id_a, rec_id_b, similarity), rec_id_a < rec_id_b: all pairs of rows that reach the threshold.
 
     Copies come out expanded into rows; ``near_duplicate_classes`` gives the compact form.
     """
-    classed = with_class(df, id_col, text_col, min_words)
-    members = materialise(classed.select("rec", "cls"))
-    pairs = class_pairs(class_texts(classed), threshold)
+    pairs, members = near_duplicate_classes(df, id_col, text_col, min_words, threshold)
     left, right = members.select(F.col("rec").alias("l"), F.col("cls").alias("a")), members.select(F.col("rec").alias("r"), F.col("cls").alias("b"))
     different = pairs.join(left, "a").join(right, "b").select(F.least("l", "r").alias("rec_id_a"), F.greatest("l", "r").alias("rec_id_b"), "similarity")
     same = members.alias("x").join(members.alias("y"), F.expr("x.cls = y.cls and x.rec < y.rec")).select(F.col("x.rec").alias("rec_id_a"), F.col("y.rec").alias("rec_id_b"), F.lit(1.0).alias("similarity"))
