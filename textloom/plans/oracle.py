@@ -169,7 +169,7 @@ SELECT pair_id, CASE WHEN rn <= a THEN 'train' WHEN rn <= a + b THEN 'val' ELSE
         "nested_manifest": f"WITH {MANIFEST} SELECT split, substr(pair_id, 1, 2) AS part, count(*) AS n, sha256(string_agg(pair_id, ',' ORDER BY pair_id)) AS ids FROM shipped GROUP BY ALL",
         "pair_row_id": "SELECT rec_id, made, made = pair_id AS same FROM (SELECT rec_id, pair_id, sha256(" + " || chr(10) || ".join(strip(f"coalesce({c}, '')") for c in ("topic", "input_prompt", "output_prompt")) + ") AS made FROM prompt_pairs)",
         "token_windows": f"WITH {WINDOWS} SELECT doc_id, chunk, start::INTEGER AS start, len(t)::INTEGER AS n_tokens FROM parts",
-        "char_chunks": "SELECT doc_id, chunk::INTEGER AS chunk, least(400, n - chunk * 400)::INTEGER AS n_chars FROM (SELECT doc_id, length(text) AS n, unnest(range(0, least(14, ceil(length(text) / 400.0))::BIGINT)) AS chunk FROM documents WHERE length(text) > 0)",
+        "char_chunks": "SELECT doc_id, chunk::INTEGER AS chunk, least(400, n - chunk * 400)::INTEGER AS n_chars FROM (SELECT doc_id, length(text) AS n, unnest(range(0, ceil(length(text) / 400.0)::BIGINT)) AS chunk FROM documents WHERE length(text) > 0)",
         "chunk_score_agg": f"WITH {PROXY} SELECT doc_id, round(mean, 6) AS mean, round(max, 6) AS max, n_chunks, round(proxy_score, 6) AS proxy_score FROM proxy",
         "slop_stats": f"SELECT source, count(x) AS n, round(avg(x), 6) AS mean, round(median(x), 6) AS median, round(min(x), 6) AS min, round(max(x), 6) AS max, round(CASE WHEN count(x) = 1 THEN 0.0 ELSE stddev_samp(x) END, 6) AS stdev, round(avg((x < 0.5)::INTEGER::DOUBLE), 6) AS share_below FROM (SELECT source, {CLAMPED} AS x FROM documents) GROUP BY source",
         "slop_histogram": f"SELECT printf('[%.1f,%.1f)', b / 10.0::DOUBLE, (b + 1) / 10.0::DOUBLE) AS bin, count(*) AS n FROM (SELECT {deciles} AS b FROM (SELECT {CLAMPED} AS x FROM documents) WHERE x IS NOT NULL) GROUP BY bin",
@@ -186,7 +186,7 @@ SELECT round(avg(coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0.0)),
         "nearest_centroid": f"""WITH {CENTROIDS}, s AS (SELECT vec_id, cen.label AS cluster_id, list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), c) AS sim FROM embeddings, cen),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 12) DESC, cluster_id) AS rn FROM s) SELECT vec_id, cluster_id::BIGINT AS cluster_id, round(sim, 5) AS similarity FROM r WHERE rn = 1""",
         "centroid_mean": f"WITH {CENTROIDS} SELECT label AS cluster_id, (generate_subscripts(c, 1) - 1)::INTEGER AS pos, round(unnest(c), 6) AS value FROM cen",
-        "pooled_vector": """WITH e AS (SELECT vec_id % 50 AS doc, floor(vec_id / 50.0) AS chunk, embedding FROM embeddings), x AS (SELECT doc, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM e WHERE chunk < 14),
+        "pooled_vector": """WITH e AS (SELECT vec_id % 50 AS doc, floor(vec_id / 50.0) AS chunk, embedding FROM embeddings), x AS (SELECT doc, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM e),
 m AS (SELECT doc, pos, avg(v) AS m FROM x GROUP BY ALL) SELECT doc, pos::INTEGER AS pos, round(m / sqrt(sum(m * m) OVER (PARTITION BY doc)), 5) AS value FROM m""",
         "medoid": f"""WITH {UNITS}, c AS (SELECT label, list(m ORDER BY pos) AS c FROM (SELECT label, pos, avg(x) AS m FROM (SELECT label, unnest(u) AS x, generate_subscripts(u, 1) AS pos FROM units) GROUP BY ALL) GROUP BY label),
 d AS (SELECT label, vec_id, 1.0 - list_dot_product(u, c) AS d FROM units JOIN c USING (label)), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(d, 12), vec_id) AS rn FROM d)
@@ -240,7 +240,7 @@ SELECT rec_id, line_no, md5({_instruction('line')}) AS topic FROM e WHERE {strip
         "prompt_variants": f"WITH v AS (SELECT rec_id, {_variants('output_prompt')} AS vs FROM prompt_pairs WHERE output_prompt <> ''), e AS (SELECT rec_id, unnest(vs) AS v, (generate_subscripts(vs, 1) - 1)::INTEGER AS variant_no FROM v) SELECT rec_id, variant_no, md5({strip('v')}) AS variant FROM e",
         "template_fill": f"SELECT rec_id, md5(replace(replace({_canonical('output_prompt', 'topic')}, '{{topic}}', coalesce(topic, '')), '<topic>', coalesce(topic, ''))) AS prompt FROM prompt_pairs WHERE output_prompt IS NOT NULL",
         "compose_messages": f"""WITH x AS (SELECT rec_id, {strip('input_prompt')} AS a, {strip('output_prompt')} AS b, output_prompt AS raw, {strip('baseline_essay')} AS e FROM prompt_pairs WHERE input_prompt IS NOT NULL AND output_prompt IS NOT NULL),
-y AS (SELECT *, CASE WHEN e IS NULL THEN '' ELSE '{T.FEWSHOT_HEAD}' || chr(10) || chr(10) || '--- Reference example 1 ---' || chr(10) || CASE WHEN length(e) > 300 THEN substr(e, 1, 300) || chr(10) || '[... truncated ...]' ELSE e END END AS block,
+y AS (SELECT *, CASE WHEN e IS NULL THEN '' ELSE '{T.FEWSHOT_HEAD}' || chr(10) || chr(10) || '--- Reference example 1 ---' || chr(10) || e END AS block,
   replace(replace(raw, '{{topic}}', '<topic>'), '{{style_instructions}}', 'plain') AS filled FROM x)
 SELECT rec_id, md5(a || chr(10) || chr(10) || CASE WHEN block = '' THEN '' ELSE {strip('block')} || chr(10) || chr(10) END || b) AS message, md5(array_to_string(list_filter([a, filled, 'plain'], lambda p: p <> ''), chr(10) || chr(10))) AS whole FROM y""",
         "lexicon_sentence_ratio": f"""WITH x AS (SELECT doc_id, string_split(regexp_replace({strip('text')}, '([.!?]){WS}+', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM documents WHERE text IS NOT NULL)
