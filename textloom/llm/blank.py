@@ -13,20 +13,24 @@ STAND_INS = (
     "nooutput", "noanswer", "noresponse", "nocontent", "nodata", "notext", "noresult", "notavailable", "notapplicable", "placeholder", "insertessayhere", "insertprompthere",
 )
 _TAG = r"</?[A-Za-z][^<>]*>"
+_LONGEST = max(map(len, STAND_INS))
+_CONTENT = re.compile(r"[^\W_]+")
 
 
 def is_blank(text: str | None) -> bool:
-    """Whether a text has no content; null has none either."""
+    """Whether a text has no content, however long it is; null has none either."""
     if not text:
         return True
-    if len(text) > 200:
-        text = re.sub(_TAG, "", text)
-        return not any(c.isalnum() for c in text)
-    squeezed = re.sub(r"[\W_]+", "", re.sub(_TAG, "", text)).lower()
-    return not squeezed or squeezed in STAND_INS
+    squeezed = ""
+    for m in _CONTENT.finditer(re.sub(_TAG, "", text) if "<" in text else text):
+        squeezed += m.group()
+        if len(squeezed) > _LONGEST:
+            return False
+    return not squeezed or squeezed.lower() in STAND_INS
 
 
 def blank(c: Column) -> Column:
-    """``is_blank`` as a column expression."""
+    """``is_blank`` as a column expression. Texts without tags that hold more than a stand-in are told by one scan."""
+    filled = ~c.contains("<") & c.rlike(rf"(?:[\p{{L}}\p{{N}}][^\p{{L}}\p{{N}}]*+){{{_LONGEST + 1}}}")
     squeezed = F.lower(F.regexp_replace(F.regexp_replace(c, _TAG, ""), r"[^\p{L}\p{N}]+", ""))
-    return c.isNull() | (F.length(c) <= 200) & ((squeezed == "") | squeezed.isin(*STAND_INS)) | ~c.rlike(r"[\p{L}\p{N}]")
+    return c.isNull() | ~filled & ((squeezed == "") | squeezed.isin(*STAND_INS))

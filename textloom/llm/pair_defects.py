@@ -1,28 +1,32 @@
 """Broken prompt and response pairs: empty, truncated, refused, copied and foreign-language answers.
 
-* ``copy``: the tokens of question and answer are aligned twice. Shingle containment finds answers that
-  repeat much of their question, the longest common subsequence measures how much of it in order, and the
-  pair is a copy if its shingle similarity reaches ``COPY_SIMILARITY`` (or if both are the same few words).
-* ``refusal``: the opening of the answer, quotations left out, is aligned by longest common subsequence with
-  refusal templates. A template has to be contained completely, starting within ``OPENING`` words and
-  with at most ``SLACK`` words in between, so that a refusal with a remark after it counts and a quoted one does not.
-* ``other_language``: function words of five languages (and the script) decide the main language of answer and prompt.
+* ``copy``: the tokens of question and answer are aligned twice. Shingle containment tells how much of the
+  question the answer repeats, the longest common subsequence how much of it in order. Pairs whose containment
+  reaches ``COPY_SIMILARITY`` are copies if the answer holds little else (their similarity reaches it too), or if both are
+  the same few words. ``copy_inside`` is a question that stands nearly whole (``INSIDE`` of its shingles, and of its words in
+  order) within a longer answer; it is reported only where the answer has no other defect.
+* ``refusal``: the answer, quotations left out, is aligned sentence by sentence with refusal templates by longest
+  common subsequence. A template has to be contained completely, starting within ``OPENING`` words of its
+  sentence and with at most ``SLACK`` words in between. After the opening of the answer the sentence must
+  also name what is refused (the essay, this request …), since a story may well say that one cannot help.
+* ``other_language``: character n-gram profiles (see ``languages``) decide the main language of answer and
+  prompt. Where no profiles are given, function words of five languages stand in.
 * ``empty`` and ``truncated``: as in ``blank`` and ``truncation``.
 
-An answer gets at most one defect, in the order empty, refusal, copy, other_language, truncated.
+An answer gets at most one defect, in the order empty, refusal, copy, other_language, truncated, copy_inside.
 
 Scale: one pass over the rows without any shuffle finds all but the cut answers; these come from the ends and
 lengths of the texts, and only flagged rows meet in a join.
 
 Defined results: a null answer has no defect; a null or blank question gives no copy and no other_language;
-texts whose language can't be told (too few function words) are in no other language; repeated rows get the
+texts whose language can't be told (too few letters) are in no other language; repeated rows get the
 same verdict each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +36,13 @@ from pyspark.sql import functions as F
 from textloom.functions.drift import lcs as lcs_length
 from textloom.llm import tokens
 from textloom.llm.blank import is_blank
+from textloom.llm.languages import Profiles
 from textloom.llm.truncation import cut_kinds, endings
 from textloom.session import materialise
 
-COPY_SIMILARITY = 0.6
+COPY_SIMILARITY, INSIDE = 0.6, 0.8
+#: Words that a question needs to be looked for inside an answer.
+INSIDE_WORDS = 8
 OPENING, SLACK = 12, 2
 #: Weight of function words that the leading language needs, and how far it has to lead the second. A word of several
 #: languages counts less for each of them: one over the square of their number.
@@ -98,8 +105,12 @@ FUNCTION_WORDS = {
     "pt": "o a os as um uma uns umas e é em que não do da dos das no na nos nas ao à por para com sem seu sua se como mais mas ou entre sobre este esta há já muito foi quando desde até tudo dizem são nós isso ele ela pelo pela porque",
 }
 _LANGUAGES = list(FUNCTION_WORDS)
-_QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|«[^»]*»|„[^“”]*[“”]|‘[^’\n]{0,200}’(?!\w)|^[ \t]*>.*$", re.M)
-_TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
+# Fixed words for what is refused.
+_REFUSED = frozenset("this that it essay essays request prompt task text instruction instructions question topic content assignment piece article draft cela texte demande tâche sujet consigne das diesen diese dieses text anfrage aufgabe thema aufsatz esto texto solicitud tarea petición tema isso pedido tarefa assunto".split())
+_QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|«[^»]*»|„[^“”]*[“”]|(?<!\w)‘(?:[^’\n]|’(?=\w))*’|^[ \t]*>.*$", re.M)
+#: A closing quotation mark whose opening one is missing: what stands before it was quoted.
+_HALF_QUOTED = re.compile(r"\A[^\"“”]*[,.!?][\"”](?=\s)")
+_SENTENCE = re.compile(r"[^.!?\n]+")
 
 
 def _expand(line: str) -> list[list[str]]:
@@ -120,22 +131,41 @@ _TEMPLATES: dict[str, list[list[str]]] = {}
 for _line in REFUSALS.strip().splitlines():
     for _tokens in _expand(_line):
         _TEMPLATES.setdefault(_tokens[0], []).append(_tokens)
-#: Words after the last start that a template and its gaps can reach.
-_LONGEST = max(len(t) for ts in _TEMPLATES.values() for t in ts) + SLACK
+_STARTS, _SECONDS = (np.sort(tokens.hashed(sorted({tokens.words(" ".join(t))[i] for ts in _TEMPLATES.values() for t in ts}))) for i in (0, 1))
 
 
-def is_refusal(text: str) -> bool:
-    """Whether the opening of a text, quotations left out, contains a refusal template in order."""
-    unquoted = _QUOTED.sub(" ", text)
-    end = next((m.end() for i, m in enumerate(_TOKEN.finditer(unquoted)) if i == OPENING + _LONGEST), len(unquoted))
-    opening = _refusal_tokens(unquoted[:end])
-    for i, word in enumerate(opening[: OPENING + 1]):
+def _refuses(words: list[str], opening: int) -> bool:
+    """Whether a sentence contains a template; from its word ``opening`` on, or after a start there, only with what is refused."""
+    for i, word in enumerate(words[: OPENING + 1]):
         for template in _TEMPLATES.get(word, ()):
-            if lcs_length(template, opening[i : i + len(template) + SLACK]) == len(template):
+            if lcs_length(template, words[i : i + len(template) + SLACK]) == len(template) and (i <= opening or not _REFUSED.isdisjoint(words[i + len(template) :])):
                 return True
     return False
 
 
+def is_refusal(text: str) -> bool:
+    """Whether a text, quotations left out, contains a refusal template in order in any of its sentences."""
+    if text.count('"') % 2 or text.count("”") > text.count("“"):
+        text = _HALF_QUOTED.sub(" ", text)
+    before = 0
+    for m in _SENTENCE.finditer(_QUOTED.sub(" ", text)):
+        words = _refusal_tokens(m.group())
+        if _refuses(words, OPENING - before):
+            return True
+        before += len(words)
+    return False
+
+
+def may_refuse(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which texts have the first word of a template and its second one within ``SLACK`` more words: a cheap first test."""
+    second = np.append(np.isin(h, _SECONDS), np.zeros(SLACK + 1, bool))
+    near = np.zeros(len(h), bool)
+    for gap in range(1, SLACK + 2):
+        near |= second[gap : gap + len(h)]
+    found = np.flatnonzero(near & np.isin(h, _STARTS))
+    return np.diff(np.searchsorted(found, at)) > 0
+
+
 _WORD_HASHES = {lang: np.sort(tokens.hashed(list(dict.fromkeys(tokens.words(ws))))) for lang, ws in FUNCTION_WORDS.items()}
 _ALL_HASHES = np.unique(np.concatenate(list(_WORD_HASHES.values())))
 _TABLE = np.stack([np.isin(_ALL_HASHES, _WORD_HASHES[lang]) for lang in _LANGUAGES], 1).astype(np.float64)
@@ -178,7 +208,40 @@ def elsewhere(row: np.ndarray, own: str | None, prompt: str) -> bool:
     return _LANGUAGES[best] != prompt and row[best] >= LEAST_WEIGHT and row[best] >= LEAD * row[_LANGUAGES.index(prompt)]
 
 
-def _flag(fields: list[tuple[str, str]], prompt: str):
+def _spoken(names: list[str], texts: dict, words: dict, profiles: Profiles | None) -> tuple[dict, Callable]:
+    """The main language of every text, and a test whether an answer is mainly in another one than a prompt's."""
+    if profiles is None:
+        weights = {n: language_counts(*words[n]) for n in names}
+        own = {n: languages(weights[n], texts[n]) for n in names}
+        return own, lambda answer, i, theirs: elsewhere(weights[answer][i], own[answer][i], theirs)
+    scores = {n: profiles.scores(texts[n]) for n in names}
+    own = {n: profiles.languages(*scores[n]) for n in names}
+    return own, lambda answer, i, theirs: profiles.elsewhere(scores[answer][0][i], bool(scores[answer][1][i]), theirs)
+
+
+def _copied(answer: tuple, question: tuple, i: int) -> tuple[str | None, float | None]:
+    """('copy', 'copy_inside' or null, share of the question's words that the answer repeats in order) of one pair.
+
+    Answer and question: (words, their offsets, shingles, their offsets).
+    """
+    ah, aat, ash, ast = answer
+    qh, qat, qsh, qst = question
+    aw, qw = ah[aat[i] : aat[i + 1]], qh[qat[i] : qat[i + 1]]
+    a, q = np.unique(ash[ast[i] : ast[i + 1]]), np.unique(qsh[qst[i] : qst[i + 1]])
+    if not len(a) or not len(q):
+        same = 0 < len(aw) < 3 and len(aw) == len(qw) and bool((aw == qw).all())
+        return ("copy", 1.0) if same else (None, None)
+    both = len(np.intersect1d(a, q, assume_unique=True))
+    if both < COPY_SIMILARITY * len(q):
+        return None, None
+    in_order = lcs_length(qw.tolist(), aw.tolist()) / len(qw)
+    if both >= COPY_SIMILARITY * (len(a) + len(q) - both):
+        return "copy", in_order
+    inside = both >= INSIDE * len(q) and in_order >= INSIDE and len(qw) >= INSIDE_WORDS
+    return ("copy_inside", in_order) if inside else (None, None)
+
+
+def _flag(fields: list[tuple[str, str]], prompt: str, profiles: Profiles | None):
     """Fields: (answer, its question). Batches have rec_id first and then the texts by name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,35 +249,25 @@ def _flag(fields: list[tuple[str, str]], prompt: str):
             ids = batch.column("rec_id").to_pylist()
             names = [n for n in batch.schema.names if n != "rec_id"]
             texts = {n: batch.column(n).to_pylist() for n in names}
-            words, sets, spoken, weights = {}, {}, {}, {}
-            for n in names:
-                h, at = tokens.hash_texts(texts[n])
-                sh, starts = tokens.shingles(h, at)
-                words[n], sets[n] = (h, at), (sh, starts)
-                weights[n] = language_counts(h, at)
-                spoken[n] = languages(weights[n], texts[n])
+            words = {n: tokens.hash_texts(texts[n]) for n in names}
+            aligned = {n: (*words[n], *tokens.shingles(*words[n])) for n in names}
+            spoken, foreign = _spoken(names, texts, words, profiles)
             rows: list[tuple] = []
             for answer, question in fields:
-                (ah, aat), (qh, qat) = words[answer], words[question]
-                (ash, ast), (qsh, qst) = sets[answer], sets[question]
+                suspects = may_refuse(*words[answer])
                 for i, text in enumerate(texts[answer]):
                     if text is None:
                         continue
                     defect, detail = None, None
                     if is_blank(text):
                         defect = "empty"
-                    elif is_refusal(text):
+                    elif suspects[i] and is_refusal(text):
                         defect = "refusal"
                     else:
                         if texts[question][i] is not None:
-                            a, q = np.unique(ash[ast[i] : ast[i + 1]]), np.unique(qsh[qst[i] : qst[i + 1]])
-                            both = len(np.intersect1d(a, q, assume_unique=True)) if len(a) and len(q) else 0
-                            aw, qw = ah[aat[i] : aat[i + 1]], qh[qat[i] : qat[i + 1]]
-                            alike = both / (len(a) + len(q) - both) if both else float(0 < len(aw) < 3 and len(aw) == len(qw) and bool((aw == qw).all()))
-                            if alike >= COPY_SIMILARITY:
-                                defect, detail = "copy", lcs_length(qw.tolist(), aw.tolist()) / max(1, len(qw))
-                        if not defect and (theirs := spoken[prompt][i]) and elsewhere(weights[answer][i], spoken[answer][i], theirs):
-                            defect = "other_language"
+                            defect, detail = _copied(aligned[answer], aligned[question], i)
+                        if defect != "copy" and (theirs := spoken[prompt][i]) and foreign(answer, i, theirs):
+                            defect, detail = "other_language", None
                     if defect:
                         rows.append((ids[i], answer, defect, detail))
             columns = list(zip(*rows)) or [(), (), (), ()]
@@ -223,7 +276,7 @@ def _flag(fields: list[tuple[str, str]], prompt: str):
     return run
 
 
-def pair_defects(df: DataFrame, id_col: str = "rec_id", prompt: str = "input_prompt", fields: tuple[tuple[str, str], ...] = (("output_prompt", "input_prompt"), ("baseline_essay", "input_prompt"), ("best_essay", "output_prompt")), source: str | None = None) -> DataFrame:
+def pair_defects(df: DataFrame, id_col: str = "rec_id", prompt: str = "input_prompt", fields: tuple[tuple[str, str], ...] = (("output_prompt", "input_prompt"), ("baseline_essay", "input_prompt"), ("best_essay", "output_prompt")), source: str | None = None, profiles: Profiles | None = None) -> DataFrame:
     """(rec_id, field, defect, in_order): one row per defective answer. ``fields``: (answer, its question).
 
     in_order is, for copies, the share of the question's words that the answer repeats in order. Lengths at which
@@ -231,8 +284,10 @@ def pair_defects(df: DataFrame, id_col: str = "rec_id", prompt: str = "input_pro
     """
     names = list(dict.fromkeys([prompt, *(n for pair in fields for n in pair)]))
     ids = F.col(id_col).cast("bigint").alias("rec_id")
-    flagged = materialise(df.select(ids, *names).mapInArrow(_flag([*fields], prompt), "rec_id bigint, field string, defect string, in_order double"))
+    flagged = materialise(df.select(ids, *names).mapInArrow(_flag([*fields], prompt, profiles), "rec_id bigint, field string, defect string, in_order double"))
     origin = F.col(source).cast("string") if source else F.lit(None).cast("string")
     stacked = df.select(ids, origin.alias("source"), F.explode(F.array(*(F.struct(F.lit(a).alias("field"), F.col(a).alias("text")) for a, _ in fields))).alias("x")).select("rec_id", F.to_json(F.struct("x.field", "source")).alias("source"), "x.field", "x.text").where("text is not null")
     cut = cut_kinds(endings(stacked, F.col("text"))).where("kind is not null").select("rec_id", "field", F.lit("truncated").alias("defect"), F.lit(None).cast("double").alias("in_order"))
-    return cut.join(flagged.select("rec_id", "field"), ["rec_id", "field"], "left_anti").unionByName(flagged)
+    first, last = flagged.where("defect <> 'copy_inside'"), flagged.where("defect = 'copy_inside'")
+    cut = cut.join(first.select("rec_id", "field"), ["rec_id", "field"], "left_anti")
+    return first.unionByName(cut).unionByName(last.join(cut.select("rec_id", "field"), ["rec_id", "field"], "left_anti"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import cross_split, encoding, leaks, near_duplicates, packing, pair_defects, sampling, segmentation, splits, truncation
+from textloom.llm import cross_split, encoding, languages, leaks, near_duplicates, packing, pair_defects, sampling, segmentation, splits, truncation
 from textloom.session import table
 
 
@@ -88,12 +89,21 @@ def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+def _defects(spark: SparkSession, sf: str) -> DataFrame:
+    try:
+        profiles = languages.learn(table(spark, sf, "documents"))
+    except AnalysisException:  # no labelled texts: function words decide
+        profiles = None
+    return pair_defects.pair_defects(table(spark, sf, "prompt_pairs"), source="source", profiles=profiles)
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return pair_defects.pair_defects(table(spark, sf, "prompt_pairs"), source="source").select("rec_id", "field", "defect")
+    """Without ``copy_inside``: the list counts as copies only answers that are alike as a whole."""
+    return _defects(spark, sf).where("defect <> 'copy_inside'").select("rec_id", "field", "defect")
 
 
 def p7_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return p7_found(spark, sf).groupBy("field", "defect").agg(F.count("*").alias("n_rows"))
+    return _defects(spark, sf).groupBy("field", "defect").agg(F.count("*").alias("n_rows"))
 
 
 def _packed(spark: SparkSession, sf: str) -> DataFrame:
