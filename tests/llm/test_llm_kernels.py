@@ -216,3 +216,31 @@ def test_natural_text_is_no_damage():
     table = language_model()
     for text in (FRENCH, "Smörgås och Ångström", "книги и Λόγος", "├── drafts\n│   └── x", "√44 ≈ 8.22, Δ5 and µ3, €72 ± 2 °C, © 5, § 7", "naïve “quote” – dash… 🙂", "caf&eacute; &amp; tea", "L'ÉTÉ À CÔTÉ", "", "½ m² x", "wait…what", "col·lecció", "Lech Wałęsa, Škoda, Łódź", "Brand™ and word‡ here", "sagte„so"):
         assert not encoding.repair(text, {}, table)[1], text
+
+
+def test_the_index_is_compressed_and_ranks_exactly():
+    rng = np.random.default_rng(1)
+    h, at = rng.integers(0, 50, 3000).astype(np.uint64), np.arange(0, 3001, 60)
+    index = FMIndex(h, at)
+    held = sum(getattr(index, n).nbytes for n in ("bwt", "places", "kept", "kept_before", "sample"))
+    assert held < 10 * (index.n + 100)
+    symbols, where = rng.integers(1, int(index.bwt.max()) + 1, 400), rng.integers(0, index.n + 1, 400)
+    assert index.rank(symbols, where).tolist() == [int((index.bwt[:w] == s).sum()) for s, w in zip(symbols, where)]
+    body = np.zeros(index.n, np.int64)
+    spots = np.arange(len(h)) + np.repeat(np.arange(len(at) - 1), np.diff(at))
+    body[spots] = np.unique(h, return_inverse=True)[1] + len(at)
+    body[at[1:] + np.arange(len(at) - 1)] = np.arange(len(at) - 1) + 1
+    assert index._texts_at(np.arange(index.n)).tolist() == suffix_array(body).tolist()
+
+
+def test_complete_distance_is_that_of_all_symbols():
+    from textloom.llm import near_duplicates
+
+    rng = np.random.default_rng(2)
+    symbols = rng.integers(0, 2**32, (2, 56)).astype(np.uint32)
+    symbols[1, :20] = symbols[0, :20]
+    v0, v1 = near_duplicates.packed_symbols(symbols)
+    count = lambda x: sum(((x >> (2 * i)) & 3) != 0 for i in range(32))
+    assert count(int(v0[0]) ^ int(v0[1])) + count(int(v1[0]) ^ int(v1[1])) == int(((symbols[0] & 3) != (symbols[1] & 3)).sum())
+    keys = near_duplicates.segment_keys(symbols)
+    assert keys.shape == (2, 56) and (keys[0, :20] == keys[1, :20]).all() and not (keys[0, 24:] == keys[1, 24:]).any()

@@ -2,14 +2,14 @@
 
 1. Every text becomes a class (the hash of its word sequence), so that copies, however many, count once.
 2. Evaluation classes are dealt to shards of about ``SHARD_WORDS`` words. Training classes are routed to the
-   shards that can hold a relative of theirs: both sides are joined on 32 keys of three min-hashes, the
-   distance of 32 further symbols is tested inside the join, and a training class goes to the distinct
+   shards that can hold a relative of theirs: both sides are joined on 40 keys of three min-hashes, the
+   distance of 64 symbols is tested inside the join, and a training class goes to the distinct
    shards of its matches. Without this routing every training text would have to pass every shard, which
-   grows with the square of the data. A pair of similarity 0.5 shares no key with probability 0.014, one of
-   0.6 with 0.0004, one of 0.7 with 0.000002; the distance test loses fewer than 3 in 1,000 at 0.5.
+   grows with the square of the data. A pair of similarity 0.5 shares no key with probability 0.0048, one of
+   0.6 with 0.00006, one of 0.7 with 0.0000001; the distance test loses about 2 in 1,000 at 0.5.
 3. In each shard an FM-index is built over its evaluation texts and the routed training texts are streamed
    through backward search. Seeds are joined to maximal matches, the matched spans merged, and their words
-   counted per pair of texts. Pairs whose spans cover enough are verified exactly.
+   counted per pair of texts. Pairs whose spans cover enough are verified exactly; this loses nothing, see ``MIN_COVER``.
 
 Scale: shards have a bounded number of words; the training side of a shard is salted into parts of bounded
 size, each with its own copy of the small index; copies are expanded only in the last join. Texts are
@@ -30,16 +30,20 @@ from pyspark.sql import functions as F
 
 from textloom.llm import tokens
 from textloom.llm.fm_index import FMIndex, maximal_matches, merged_spans
-from textloom.llm.near_duplicates import CHECKS, MAX_DISTANCE, packed_symbols, symbol_distance
+from textloom.llm.near_duplicates import packed_symbols, symbol_distance
 from textloom.session import materialise
 
 SHARD_WORDS = 120_000
 #: Training classes that one part of a shard takes.
 PART_TEXTS = 4_000
-BANDS, ROWS = 32, 3
+BANDS, ROWS = 40, 3
+#: Symbols that distances are told by, and the largest one: at similarity 0.5 they differ in 64 * 0.5 * 3/4 = 24
+#: of 64 on average with a standard deviation of 3.9, unrelated texts in 48.
+CHECKS, MAX_DISTANCE = 64, 35
 SEED = 6
-#: A pair is verified if its merged spans cover this share of the shorter text. Texts of similarity 0.5 share
-#: two thirds of their shingles, most of them in runs of at least a seed.
+#: A pair is verified if its merged spans cover this share of the shorter text. Texts of similarity 0.5 share at least
+#: two thirds of the shorter one's shingles; runs of fewer than six words hold at most one shingle for every two of
+#: their words (and the word that ends them), so at least a third of the shorter text lies in longer ones.
 MIN_COVER = 0.2
 
 
@@ -55,9 +59,9 @@ def _sketches(df: DataFrame, min_words: int) -> DataFrame:
             h, at = tokens.hash_texts(batch.column("text").to_pylist())
             sh, starts = tokens.shingles(h, at)
             keep = np.flatnonzero(np.diff(at) >= min_words)
-            symbols = tokens.minhashes(sh, starts, BANDS * ROWS + CHECKS)[keep]
-            v0, v1 = packed_symbols(symbols[:, BANDS * ROWS :])
-            values = symbols[:, : BANDS * ROWS].reshape(len(keep), BANDS, ROWS).astype(np.uint64)
+            symbols = tokens.minhashes(sh, starts, BANDS * ROWS)[keep]
+            v0, v1 = packed_symbols(symbols[:, :CHECKS])
+            values = symbols.reshape(len(keep), BANDS, ROWS).astype(np.uint64)
             keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(keep), 1))
             for i in range(ROWS):
                 keys = tokens.mix(keys * np.uint64(0x9E3779B97F4A7C15) + values[:, :, i])

@@ -1,15 +1,20 @@
 """A compressed full-text index (FM-index) over word sequences, with vectorised backward search.
 
 The indexed texts are laid end to end, each followed by a separator, and their suffixes sorted by prefix
-doubling. Kept are the Burrows-Wheeler transform, stored as sorted (symbol, position) keys in which a
-binary search answers the rank query of a backward step for many patterns at once, and the suffix array
-for locating matches. Symbols are word hashes replaced by their rank within the shard.
+doubling. Kept are the Burrows-Wheeler transform, as its symbols and as the list of each symbol's positions (one
+narrow integer each, the lists end to end), and every ``SAMPLED``-th place of the suffix array. A backward
+step asks for the rank of a symbol, which a binary search within its list answers for many patterns at once; matches
+are located by walking backwards to the next sampled place. Symbols are word hashes replaced by their rank within the
+shard. This takes some nine bytes a word: 4 for the transform, 4 for the lists, and 1 for the sample.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Places of the texts whose suffix array entries are kept: every so many words.
+SAMPLED = 8
+
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """Suffix array of a sequence of non-negative integers, by prefix doubling."""
@@ -46,10 +51,14 @@ class FMIndex:
         ends = starts + lengths
         body[ends] = np.arange(texts) + 1
         self.body_starts, self.texts, self.n = starts, texts, len(body)
-        self.sa = suffix_array(body)
-        bwt = body[self.sa - 1]
-        order = np.argsort(bwt, kind="stable")
-        self.keys = bwt[order] * (self.n + 1) + order
+        sa = suffix_array(body)
+        self.bwt = body[sa - 1].astype(np.uint32)
+        self.places = np.argsort(self.bwt, kind="stable").astype(np.uint32)  # the positions of each symbol, symbol after symbol
+        self.first = np.searchsorted(self.bwt[self.places], np.arange(texts + len(self.alphabet) + 2)).astype(np.int64)  # where each list starts: also the symbols smaller than it
+        kept = sa % SAMPLED == 0
+        self.kept = np.packbits(np.append(kept, np.zeros(-len(kept) % 64, bool)), bitorder="little").view(np.uint64)
+        self.kept_before = np.concatenate(([0], np.cumsum(np.bitwise_count(self.kept), dtype=np.int64))).astype(np.uint32)
+        self.sample = sa[kept].astype(np.uint32)
 
     def encode(self, h: np.ndarray) -> np.ndarray:
         """Symbols of words; 0 for words that the index does not hold."""
@@ -58,10 +67,30 @@ class FMIndex:
         at = np.minimum(np.searchsorted(self.alphabet, h), len(self.alphabet) - 1)
         return np.where(self.alphabet[at] == h, at + self.texts + 1, 0)
 
+    def rank(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How often each symbol occurs in the transform before a position: a binary search within its list, for all at once."""
+        lo, size = self.first[symbols], self.first[symbols + 1]
+        size -= lo
+        out = lo.copy()
+        live = np.flatnonzero(size)
+        lo, size, at = lo[live], size[live], at[live]
+        while len(live):  # the first place of [lo, lo + size] that is not before ``at``
+            half = size >> 1
+            less = self.places[lo + half] < at
+            lo += np.where(less, half + 1, 0)
+            size = np.where(less, size - half - 1, half)
+            done = size == 0
+            if done.any():
+                out[live[done]] = lo[done]
+                go = ~done
+                live, lo, size, at = live[go], lo[go], size[go], at[go]
+        return out - self.first[symbols]
+
     def step(self, symbols: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One backward step: intervals of the patterns with a symbol put in front."""
-        base = symbols * (self.n + 1)
-        return np.searchsorted(self.keys, base + lo), np.searchsorted(self.keys, base + hi)
+        base = self.first[symbols]
+        ranks = self.rank(np.concatenate((symbols, symbols)), np.concatenate((lo, hi)))
+        return base + ranks[: len(lo)], base + ranks[len(lo) :]
 
     def seeds(self, h: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All windows of ``length`` words that occur in the index: (start in h, interval lo, hi)."""
@@ -78,12 +107,26 @@ class FMIndex:
             start, lo, hi = start[alive], lo[alive], hi[alive]
         return start, lo, hi
 
+    def _texts_at(self, rows: np.ndarray) -> np.ndarray:
+        """Suffix array entries: steps back through the text until a sampled one, and as many forward."""
+        out = np.empty(len(rows), np.int64)
+        left, at, steps = np.arange(len(rows)), rows.astype(np.int64), 0
+        while len(left):
+            word, bit = self.kept[at >> 6], (at & 63).astype(np.uint64)
+            there = (word >> bit) & np.uint64(1) == 1
+            before = np.bitwise_count(word[there] & ((np.uint64(1) << bit[there]) - np.uint64(1)))
+            out[left[there]] = self.sample[self.kept_before[at[there] >> 6] + before].astype(np.int64) + steps
+            left, at = left[~there], at[~there]
+            symbols = self.bwt[at].astype(np.int64)
+            at, steps = self.first[symbols] + self.rank(symbols, at), steps + 1
+        return out
+
     def locate(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All occurrences of intervals: (which interval, text, word position within the text)."""
         width = hi - lo
         which = np.repeat(np.arange(len(lo)), width)
         before = np.cumsum(width) - width
-        place = self.sa[np.arange(len(which)) - np.repeat(before, width) + np.repeat(lo, width)]
+        place = self._texts_at(np.arange(len(which)) - np.repeat(before, width) + np.repeat(lo, width))
         text = np.searchsorted(self.body_starts, place, side="right") - 1
         return which, text, place - self.body_starts[text]
 

@@ -1,14 +1,18 @@
 """Near-duplicate records with small edits, by multi-index hashing.
 
-Each text gets a fingerprint of min-hash symbols; two texts of similarity *s* agree in each symbol with
-probability *s*. The table part of the fingerprint is cut into ``SEGMENTS`` segments of ``WIDTH`` symbols. For
-every segment the Hamming ball of radius 1 is enumerated: one key per symbol, with that symbol left out, so
-that two texts meet in a table if they differ in at most one symbol of a segment. Matches have the Hamming
-distance of the verifying part (``CHECKS`` further symbols) tested inside the join, before anything is
-emitted, and the survivors' exact similarity is computed from their texts.
-
-With 12 segments of 4 symbols a pair of similarity 0.5 is missed by the tables with probability 0.011,
-one of 0.6 with 0.0004, one of 0.7 with 0.000003; the distance test loses fewer than 3 in 1,000 at 0.5.
+Each text gets a fingerprint of ``SEGMENTS`` x ``WIDTH`` min-hash symbols; two texts of similarity *s* agree in
+each symbol with probability *s*, so the Hamming distance of fingerprints (in symbols) measures their
+similarity. The fingerprint is cut into segments, one table each. In every segment the Hamming ball of radius 1
+around a text's symbols is enumerated as its ``WIDTH`` patterns with one symbol left open (the alphabet of min-hash
+symbols is too large to list the ball's members one by one); texts whose balls meet are the table matches. Of
+every match the complete distance, over all symbols of both fingerprints, is tested inside the join,
+before anything is emitted, and the survivors' exact similarity is computed from their texts.
+
+With 14 segments of 4 symbols a pair of similarity 0.5 is missed by the tables with probability 0.0053,
+one of 0.6 with 0.00008; the distance test loses about 2 in 1,000 at 0.5. Fingerprints of bits can't do
+this at a similarity of 0.5: the bits of two such texts differ with probability 0.27 (simhash) or 0.25 (one-bit
+min-hash), so 16-bit segments within distance 1 occur for 5 % of such pairs; some 100 tables with 17 keys
+each would be needed, in which unrelated texts meet once in 4,000 look-ups.
 
 Scale: exact copies are collapsed into classes first (a group of copies, however large, is one row from
 there on); keys are spread by hash over the shuffle partitions and hot keys are split by the adaptive
@@ -34,12 +38,12 @@ from textloom.llm import tokens
 from textloom.llm.components import connected_components
 from textloom.session import materialise
 
-SEGMENTS, WIDTH, CHECKS = 12, 4, 32
-#: Bits kept of each verifying symbol: 32 symbols of 4 bits are two 64-bit words.
-SYMBOL_BITS = 4
-#: Largest distance, in verifying symbols, of a match that is looked at further. A pair of similarity 0.5
-#: differs in 32 * 0.5 * 15/16 = 15 symbols on average with a standard deviation of 2.8, unrelated texts in 30.
-MAX_DISTANCE = 23
+SEGMENTS, WIDTH = 14, 4
+#: Bits of each symbol that distances are told by: 56 symbols of 2 bits are two 64-bit words.
+SYMBOL_BITS = 2
+#: Largest complete distance of a match that is looked at further. Fingerprints of similarity 0.5 differ in
+#: 56 * 0.5 * 3/4 = 21 symbols on average with a standard deviation of 3.6, unrelated ones that meet in a table in 40.
+MAX_DISTANCE = 31
 
 
 def segment_keys(symbols: np.ndarray) -> np.ndarray:
@@ -58,11 +62,11 @@ def segment_keys(symbols: np.ndarray) -> np.ndarray:
 
 
 def packed_symbols(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The low bits of all symbols, packed into two 64-bit words."""
+    """The low bits of all symbols (64 at most), packed into two 64-bit words."""
     low = (symbols & np.uint32((1 << SYMBOL_BITS) - 1)).astype(np.uint64)
-    per = 64 // SYMBOL_BITS
+    half = -(-symbols.shape[1] // 2)
     words = []
-    for part in (low[:, :per], low[:, per:]):
+    for part in (low[:, :half], low[:, half:]):
         value = np.zeros(len(symbols), np.uint64)
         for i in range(part.shape[1]):
             value |= part[:, i] << np.uint64(i * SYMBOL_BITS)
@@ -71,9 +75,9 @@ def packed_symbols(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def symbol_distance(left: str, right: str) -> str:
-    """SQL: in how many 4-bit symbols two packed words differ."""
+    """SQL: in how many 2-bit symbols two packed words differ."""
     x = f"({left} ^ {right})"
-    return f"bit_count(({x} | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3)) & 1229782938247303441L)"
+    return f"bit_count(({x} | shiftrightunsigned({x}, 1)) & 6148914691236517205L)"
 
 
 def with_class(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
@@ -89,16 +93,16 @@ def class_texts(classed: DataFrame) -> DataFrame:
 
 
 def keyed(texts: DataFrame) -> DataFrame:
-    """(k, cls, v0, v1): a row for each table key of each class, with the verifying symbols."""
+    """(k, cls, v0, v1): a row for each table key of each class, with its whole fingerprint."""
     n_keys = SEGMENTS * WIDTH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, at = tokens.hash_texts(batch.column(1).to_pylist())
             sh, starts = tokens.shingles(h, at)
-            symbols = tokens.minhashes(sh, starts, n_keys + CHECKS)
-            v0, v1 = packed_symbols(symbols[:, n_keys:])
-            columns = [segment_keys(symbols[:, :n_keys]).ravel(), np.repeat(batch.column(0).to_numpy(), n_keys), np.repeat(v0, n_keys), np.repeat(v1, n_keys)]
+            symbols = tokens.minhashes(sh, starts, n_keys)
+            v0, v1 = packed_symbols(symbols)
+            columns = [segment_keys(symbols).ravel(), np.repeat(batch.column(0).to_numpy(), n_keys), np.repeat(v0, n_keys), np.repeat(v1, n_keys)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k", "cls", "v0", "v1"])
 
     return texts.mapInArrow(run, "k bigint, cls bigint, v0 bigint, v1 bigint")
