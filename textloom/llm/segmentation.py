@@ -17,6 +17,7 @@ Sizes are in Unicode code points.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,34 +43,57 @@ def boundaries(text: str) -> list[tuple[int, bool]]:
     return [(m.end(), "\n\n" in m.group() or "\r\n\r\n" in m.group()) for m in _SENTENCE.finditer(text) if 0 < m.end() < len(text)]
 
 
+def _rises(similarity: list[float]) -> list[float]:
+    """For each place the highest similarity that is reached to its left without going below any place on the way down from it.
+
+    That is the end of the run of values that never fall, read from the place: one pass.
+    """
+    out: list[float] = []
+    for i, s in enumerate(similarity):
+        out.append(out[-1] if i and similarity[i - 1] >= s else s)
+    return out
+
+
 def depths(text: str, ends: list[int]) -> np.ndarray:
-    """How deep the valley of block similarity is at each boundary."""
+    """How deep the valley of block similarity is at each boundary.
+
+    The blocks roll: a sentence enters the right block, passes to the left one and leaves it, and the product and
+    the norms of both are kept up to date by its words, so the work is in proportion to the text.
+    """
     edges = [0, *ends, len(text)]
     bags = [Counter(words(text[a:b])) for a, b in zip(edges, edges[1:])]
     n = len(ends)
-    similarity = np.zeros(n)
+    left, right = Counter(), Counter()
+    dot = left_norm = right_norm = 0
+    similarity = [0.0] * n
+
+    def move(bag: Counter, side: Counter, other: Counter, sign: int) -> tuple[int, int]:
+        """Change of the product and of the side's squared norm when a bag enters or leaves it."""
+        product = norm = 0
+        for w, c in bag.items():
+            before = side[w]
+            product += sign * c * other[w]
+            norm += 2 * sign * c * before + c * c
+            if before + sign * c:
+                side[w] = before + sign * c
+            else:
+                del side[w]
+        return product, norm
+
+    for bag in bags[:BLOCK]:
+        right_norm += move(bag, right, left, 1)[1]
     for i in range(n):
-        left, right = Counter(), Counter()
-        for bag in bags[max(0, i + 1 - BLOCK) : i + 1]:
-            left.update(bag)
-        for bag in bags[i + 1 : i + 1 + BLOCK]:
-            right.update(bag)
-        dot = sum(c * right[w] for w, c in left.items() if w in right)
-        norm = (sum(c * c for c in left.values()) * sum(c * c for c in right.values())) ** 0.5
+        for bag, side, other, sign in ((bags[i], right, left, -1), (bags[i], left, right, 1), *(((bags[i + BLOCK], right, left, 1),) if i + BLOCK < len(bags) else ()), *(((bags[i - BLOCK], left, right, -1),) if i >= BLOCK else ())):
+            product, norm = move(bag, side, other, sign)
+            dot += product
+            if side is left:
+                left_norm += norm
+            else:
+                right_norm += norm
+        norm = (left_norm * right_norm) ** 0.5
         similarity[i] = dot / norm if norm else 0.0
-    out = np.zeros(n)
-    for i in range(n):
-        peak_left = peak_right = similarity[i]
-        for j in range(i - 1, -1, -1):
-            if similarity[j] < peak_left:
-                break
-            peak_left = similarity[j]
-        for j in range(i + 1, n):
-            if similarity[j] < peak_right:
-                break
-            peak_right = similarity[j]
-        out[i] = peak_left + peak_right - 2 * similarity[i]
-    return out
+    up = np.array(_rises(similarity)) + np.array(_rises(similarity[::-1])[::-1])
+    return up - 2 * np.array(similarity)
 
 
 def _word_end(text: str, lo: int, hi: int) -> int | None:
@@ -83,9 +107,9 @@ def _word_end(text: str, lo: int, hi: int) -> int | None:
 def _start(text: str, ends: list[int], begin: int, cut: int, overlap: int) -> int:
     """Where the piece after a cut starts: a sentence or word start at most ``overlap`` before the cut."""
     lo = max(begin + 1, cut - overlap)
-    for e in ends:
-        if lo <= e <= min(lo + SHORTER, cut):
-            return e
+    first = bisect_left(ends, lo)
+    if first < len(ends) and ends[first] <= min(lo + SHORTER, cut):
+        return ends[first]
     for i in range(lo, min(lo + SHORTER, cut)):
         if text[i - 1].isspace() and not text[i].isspace():
             return i
