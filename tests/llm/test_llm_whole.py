@@ -47,3 +47,15 @@ def test_near_duplicate_classes_expand_to_the_pairs(spark):
     assert sorted(sorted(m) for m in held.values()) == [[0, 1], [2, 3], [4, 5]] and pairs.count() == 1
     spread = {(min(x, y), max(x, y)) for r in pairs.collect() for x in held[r.a] for y in held[r.b]} | {(x, y) for m in held.values() for x in m for y in m if x < y}
     assert spread == {(r.rec_id_a, r.rec_id_b) for r in near_duplicates.near_duplicate_pairs(df, "id", "t").collect()} and len(spread) == 7
+
+
+def test_packing_of_a_row_repeated_very_often(spark):
+    counts = spark.createDataFrame([(7, 1000)] * 300 + [(i, 50) for i in range(100, 160)], "doc_id long, n_tokens long")
+    got = packing.pack(counts, group_size=40).collect()
+    used, held = {}, {}
+    for r in got:
+        used[r.container] = used.get(r.container, 0) + r.n_tokens
+        held[r.container] = held.get(r.container, 0) + 1
+    assert len(got) == 360 and max(used.values()) <= 2048 and sum(used.values()) == 303000
+    few = packing.pack(counts, max_documents=3, group_size=40).collect()
+    assert max(sum(r.container == c for r in few) for c in {r.container for r in few}) <= 3

@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.session import materialise
+from textloom.session import materialise, partitions
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the byte-level vocabulary above cuts a text before merging (the pattern published with it).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CAPACITY, MAX_DOCUMENTS = 2048, 512
+CAPACITY, MAX_DOCUMENTS = 2048, 64
 #: Weights of the residual shares: tokens, documents, attention cost.
 WEIGHTS = (1.0, 0.02, 0.02)
 GROUP = 6000
@@ -91,6 +91,17 @@ def best_fit(sizes: np.ndarray, capacity: int, max_documents: int, attention: in
     return where
 
 
+def _spread(items: DataFrame, groups: int, group_size: int) -> DataFrame:
+    """``items`` with the group (g) of each, by hash. Ids that alone would fill a group (rows repeated very often) are spread over several."""
+    salt = F.lit(0)
+    if groups > 1:
+        hot = items.groupBy("doc_id", "piece").agg(F.count("*").alias("_n")).where(F.col("_n") > group_size)
+        if hot.limit(1).count():
+            items = items.join(hot, ["doc_id", "piece"], "left")
+            salt = F.when(F.col("_n").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("_n") / group_size)))
+    return items.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", F.coalesce(salt, F.lit(0)).cast("bigint")), F.lit(groups)))
+
+
 def pack(counts: DataFrame, capacity: int = CAPACITY, max_documents: int = MAX_DOCUMENTS, attention: int | None = None, group_size: int = GROUP) -> DataFrame:
     """(doc_id, piece, n_tokens, container): the container of every document, or of each piece of an oversized one."""
     cost = attention or capacity * capacity
@@ -103,10 +114,10 @@ def pack(counts: DataFrame, capacity: int = CAPACITY, max_documents: int = MAX_D
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True])
         place = best_fit(pdf["n_tokens"].to_numpy(), capacity, max_documents, cost)
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "piece": pdf["piece"], "n_tokens": pdf["n_tokens"], "container": key[0] * group_size * 4 + place})
+        return pd.DataFrame({"doc_id": pdf["doc_id"], "piece": pdf["piece"], "n_tokens": pdf["n_tokens"], "container": key[0] + groups * place})
 
-    group = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups))
-    return items.withColumn("g", group).groupBy("g").applyInPandas(run, "doc_id bigint, piece int, n_tokens bigint, container bigint")
+    dealt = _spread(items, groups, group_size).repartition(min(groups, 50 * partitions(counts.sparkSession)), "g")  # a number that AQE keeps: packing takes time, not bytes
+    return dealt.groupBy("g").applyInPandas(run, "doc_id bigint, piece int, n_tokens bigint, container bigint")
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
