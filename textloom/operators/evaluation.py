@@ -105,7 +105,7 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     task takes one, with the sums of the ranges before added (no single task sorts all scores).
     """
     per = score_histogram(df, label, score).groupBy("s").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("q"))
-    ranged = per.withColumn("_b", F.floor(F.col("s") * 1024))
+    ranged = per.withColumn("_b", F.greatest(F.lit(0), F.least(F.lit(1024), F.floor(F.col("s") * 1024))))  # scores outside of [0, 1] share the outer ranges
     sizes = ranged.groupBy("_b").agg(F.sum("q").alias("_q"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_b", F.coalesce(F.sum("_q").over(before), F.lit(0)).alias("_before"))

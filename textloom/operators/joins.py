@@ -10,6 +10,8 @@ from textloom.operators.selection import bucketed_rank, hash_order
 
 #: A side is broadcast on purpose only where it is known to be below this number of rows.
 SMALL_ROWS = 100_000
+#: Bytes of centroids that go to the workers at once, and cells of one matrix product (8 bytes each).
+TABLE_BYTES, PRODUCT_CELLS = 128 << 20, 4 << 20
 
 
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
@@ -45,28 +47,51 @@ def pairs_with_templates(pairs: DataFrame, clusters: DataFrame, template: str =
 def nearest(vectors: DataFrame, centroids: DataFrame, vec_id: str, vector: str, cluster: str = "cluster_id", centroid: str = "centroid") -> DataFrame:
     """(vec_id, cluster_id, similarity): the centroid of largest cosine; of equals the smallest id.
 
-    The centroids, a table whose number is a parameter of the clustering, are collected (checked to be at most
-    ``SMALL_ROWS``) and compared with a whole Arrow batch of vectors in one matrix product. Null centroids are left
-    out, and ids are those of the table, not positions.
+    The centroids, a table whose number is a parameter of the clustering, go to the workers in parts of at most
+    ``TABLE_BYTES`` (their number and width are checked first); with more than one part the best of all parts is taken per
+    vector. An Arrow batch of vectors is multiplied with a few thousand centroids at a time. Null centroids are left out, and ids
+    are those of the table, not positions.
     """
+    usable = centroids.where(F.col(centroid).isNotNull()).select(F.col(cluster).cast("bigint").alias("_c"), F.col(centroid).alias("_v"))
+    size = usable.agg(F.count("*").alias("n"), F.max(F.size("_v")).alias("width")).first()
+    parts = max(1, -(-size.n * 8 * (size.width or 1) // TABLE_BYTES))
+    found = None
+    for part in range(parts):
+        near = _nearest(vectors, usable.where(F.pmod(F.xxhash64("_c"), F.lit(parts)) == part), vec_id, vector, cluster)
+        found = near if found is None else found.unionByName(near)
+    if parts == 1:
+        return found
+    best = found.groupBy(vec_id).agg(F.max(F.struct(F.round("similarity", 12).alias("s"), (-F.col(cluster)).alias("c"), "similarity")).alias("m"))
+    return best.select(vec_id, (-F.col("m.c")).alias(cluster), "m.similarity")
+
+
+def _nearest(vectors: DataFrame, centroids: DataFrame, vec_id: str, vector: str, cluster: str) -> DataFrame:
+    """``nearest`` among centroids (_c, _v) that the workers can hold."""
     import numpy as np
     import pyarrow as pa
 
-    rows = centroids.where(F.col(centroid).isNotNull()).select(F.col(cluster).cast("bigint"), centroid).orderBy(cluster).limit(SMALL_ROWS + 1).collect()
-    if len(rows) > SMALL_ROWS:
-        raise ValueError(f"more than {SMALL_ROWS} centroids")
+    rows = centroids.orderBy("_c").collect()
     ids = np.array([r[0] for r in rows], np.int64)
     table = np.array([r[1] for r in rows], np.float64)
     unit = table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-300) if len(rows) else table
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, unit))
 
     def run(batches):
+        ids, unit = shared.value
         for batch in batches:
             if not len(ids) or not batch.num_rows:
                 continue
             v = np.array(batch.column(1).to_pylist(), np.float64)
-            sims = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)) @ unit.T
-            best = np.argmax(np.round(sims, 12), axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids[best]), pa.array(sims[np.arange(len(best)), best])], names=[vec_id, cluster, "similarity"])
+            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+            top, best = np.full(len(v), -np.inf), np.zeros(len(v), np.int64)
+            step = max(1, PRODUCT_CELLS // len(v))
+            for a in range(0, len(ids), step):
+                sims = v @ unit[a : a + step].T
+                own = np.argmax(np.round(sims, 12), axis=1)
+                value = sims[np.arange(len(own)), own]
+                better = np.round(value, 12) > np.round(top, 12)
+                top[better], best[better] = value[better], own[better] + a
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids[best]), pa.array(top)], names=[vec_id, cluster, "similarity"])
 
     return vectors.where(F.col(vector).isNotNull()).select(F.col(vec_id).cast("bigint").alias(vec_id), vector).mapInArrow(run, f"{vec_id} bigint, {cluster} bigint, similarity double")
 

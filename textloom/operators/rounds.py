@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.operators.selection import ranked_in_buckets
+from textloom.operators.selection import ranked_by_score, ranked_in_buckets
 
 
 def plateau(df: DataFrame, run: Sequence[str], round_: str, best: str, patience: int = 2, epsilon: float = 0.02) -> DataFrame:
@@ -58,17 +58,17 @@ def best_ever(df: DataFrame, run: Sequence[str], fitness: str, *order: str) -> D
 
 
 def recency_oversample(df: DataFrame, round_: str, ordinal: str, weight: float = 1.5) -> DataFrame:
-    """All rows, and the first floor(n * (weight - 1)) rows of the last round once more (``repeated``)."""
+    """All rows, and the first floor(n * (weight - 1)) rows of the last round once more (``repeated``). The ordinal is a number."""
     last = df.agg(F.max(round_).alias("_last"))
     recent = df.join(F.broadcast(last), F.col(round_) == F.col("_last")).drop("_last")
-    n = recent.count()
-    more = recent.orderBy(ordinal).limit(int(n * (weight - 1)))
+    ranked = ranked_in_buckets(recent.withColumn("_all", F.lit(0)), ["_all"], F.floor(F.col(ordinal) / 100_000), F.col(ordinal).asc())
+    more = ranked.where(F.col("rank") <= F.floor(F.col("n_all") * (weight - 1))).select(*df.columns)
     return df.withColumn("repeated", F.lit(False)).unionByName(more.withColumn("repeated", F.lit(True)))
 
 
 def curriculum(df: DataFrame, by: Sequence[str], gap: str, ordinal: str) -> DataFrame:
-    """``df`` with its rank by gap, largest first, stable. Gaps lie in [-1, 1]; ranks are made in 2,001 buckets of them."""
-    ranked = ranked_in_buckets(df, by, F.floor(-F.col(gap) * 1000), F.col(gap).desc(), F.col(ordinal).asc())
+    """``df`` with its rank by gap, largest first, stable."""
+    ranked = ranked_by_score(df, by, gap, ordinal, descending=True)
     return ranked.withColumn("curriculum_rank", F.col("rank").cast("int")).drop("rank", "n_all")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.functions.vectors import clamp
+from textloom.operators.selection import first_rows
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -141,4 +142,4 @@ def held_out_or_head(held_out: DataFrame, df: DataFrame, *order: Column) -> Data
     """The held-out rows; without any, the first max(1, n // 10) rows in the given order."""
     if held_out.limit(1).count():
         return held_out
-    return df.orderBy(*order).limit(max(1, df.count() // 10))
+    return first_rows(df, 0.1, 1, *order)

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.session import materialise
+
 
 def first_per(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order.
@@ -77,10 +79,42 @@ def ranked_in_buckets(df: DataFrame, by: Sequence[str], bucket: Column, *order:
     return inside.join(offsets, [*names, "_b"]).withColumn("rank", F.col("_before") + F.col("_in")).drop(*names, "_b", "_in", "_before")
 
 
+def ranked_by_score(df: DataFrame, by: Sequence[str], score: str, ordinal: str, descending: bool = False, block: int = 100_000) -> DataFrame:
+    """``df`` with rank and n_all within each group by score, the earliest of equals first; null scores are left out.
+
+    No task holds a group, nor all rows of one score: the rows of smaller scores are counted on counts per distinct score
+    (in 1,001 ranges of the score), and rows of equal score are numbered within blocks of the ordinal, a number.
+    """
+    names = [f"_by{i}" for i in range(len(by))]
+    value = -F.col(score) if descending else F.col(score)
+    rows = df.where(F.col(score).isNotNull()).withColumns({n: F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for n, c in zip(names, by)} | {"_v": value, "_o": F.floor(F.col(ordinal) / block)})
+    cells = rows.groupBy(*names, "_v", "_o").agg(F.count("*").alias("_n"))
+    scores = cells.groupBy(*names, "_v").agg(F.sum("_n").alias("_n")).withColumn("_b", F.greatest(F.lit(-1000), F.least(F.lit(1000), F.floor(F.col("_v") * 1000))))
+    ranges = scores.groupBy(*names, "_b").agg(F.sum("_n").alias("_n"))
+    so_far = lambda *part: F.coalesce(F.sum("_n").over(part[0].rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranges.select(*names, "_b", so_far(Window.partitionBy(*names).orderBy("_b")).alias("_range"), F.sum("_n").over(Window.partitionBy(*names)).alias("n_all"))
+    scores = scores.withColumn("_below", so_far(Window.partitionBy(*names, "_b").orderBy("_v"))).join(offsets, [*names, "_b"]).select(*names, "_v", (F.col("_range") + F.col("_below")).alias("_below"), "n_all")
+    cells = cells.withColumn("_before", so_far(Window.partitionBy(*names, "_v").orderBy("_o"))).join(scores, [*names, "_v"]).select(*names, "_v", "_o", (F.col("_below") + F.col("_before")).alias("_before"), "n_all")
+    inside = rows.withColumn("_in", F.row_number().over(Window.partitionBy(*names, "_v", "_o").orderBy(ordinal)))
+    return inside.join(cells, [*names, "_v", "_o"]).withColumn("rank", F.col("_before") + F.col("_in")).drop(*names, "_v", "_o", "_in", "_before")
+
+
+def first_rows(df: DataFrame, share: float, least: int, *order: Column) -> DataFrame:
+    """The first max(least, floor(share * n)) rows in an order, by one distributed sort.
+
+    The sorted rows are written, numbered within their partitions, and the sizes of the partitions before are added.
+    """
+    place = F.monotonically_increasing_id()
+    ordered = materialise(df.orderBy(*order).withColumns({"_p": F.shiftright(place, 33), "_i": place}))
+    sizes = ordered.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))  # a row per partition
+    offsets = sizes.select("_p", "_first", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    kept = F.col("_before") + F.col("_i") - F.col("_first") < F.greatest(F.lit(least), F.floor(F.col("_all") * share))
+    return ordered.join(F.broadcast(offsets), "_p").where(kept).select(*(f"`{c}`" for c in df.columns))
+
+
 def elite(df: DataFrame, share: float, by: Sequence[str], score: str, ordinal: str) -> DataFrame:
-    """The max(1, share of the group) lowest scored rows of each group, the earliest of equals first. Scores lie in [0, 1]."""
-    ranked = ranked_in_buckets(df, by, F.floor(F.col(score) * 1000), F.col(score).asc(), F.col(ordinal).asc())
-    return ranked.where(F.col("rank") <= elite_count(F.col("n_all"), share)).drop("rank", "n_all")
+    """The max(1, share of the group) lowest scored rows of each group, the earliest of equals first."""
+    return ranked_by_score(df, by, score, ordinal).where(F.col("rank") <= elite_count(F.col("n_all"), share)).drop("rank", "n_all")
 
 
 def pool_merge(existing: DataFrame, new: DataFrame, cap: int, text: str = "essay", score: str = "slop_score", ordinal: str = "ordinal", prefix: int = 4000) -> DataFrame:
@@ -144,8 +178,20 @@ def split_manifest(ids: DataFrame, pair_id: str, seed: int, train: float = 0.70,
     return bucketed_rank(one, "_o").select("pair_id", split.alias("split"))
 
 
-def nested_manifest(flat: DataFrame, digits: int = 2) -> DataFrame:
-    """The manifest as rows of sorted id lists: one per split and leading digits of the id, so that no row grows with all ids."""
+def part_digits(n: int, rows: int = 50_000, least: int = 2) -> int:
+    """Leading hexadecimal digits by which ``n`` evenly spread ids are cut into parts of about ``rows`` at most."""
+    digits = least
+    while n > rows * 16**digits:
+        digits += 1
+    return digits
+
+
+def nested_manifest(flat: DataFrame, digits: int | None = None) -> DataFrame:
+    """The manifest as rows of sorted id lists: one per split and leading digits of the id.
+
+    The number of digits follows from the number of ids, so no list grows with them (from 12.8 million ids on).
+    """
+    digits = digits or part_digits(flat.count())
     return flat.groupBy("split", F.substring("pair_id", 1, digits).alias("part")).agg(F.array_sort(F.collect_list("pair_id")).alias("pair_ids"))
 
 
@@ -159,22 +205,27 @@ def manifest_is_current(manifest: DataFrame, source_sha256: str) -> bool:
     return manifest.where(F.col("source_sha256") == source_sha256).limit(1).count() > 0
 
 
-def weighted_sample(df: DataFrame, n: int, weight: str, seed: int, key: str) -> DataFrame:
+def weighted_sample(df: DataFrame, n: int, weight: str, seed: int, key: str, bucket_rows: int = 100_000) -> DataFrame:
     """``n`` draws with replacement, rows drawn in proportion to their weight: (draw, key).
 
-    Weights are summed to a cumulative line per bucket, draws are hashed to points of that line, and each point
-    meets the row whose interval holds it in a join on the bucket.
+    Weights are summed to a cumulative line in hash order of the key, bucket by bucket; their number grows with the rows.
+    The line is cut into as many cells as there are rows; a row's interval lies in one cell or, if it is heavy, in several,
+    and each draw, hashed to a point of the line, meets the few rows of its cell.
     """
     spark = df.sparkSession
-    spread = df.select(F.col(key).alias("_key"), F.col(weight).cast("double").alias("_w")).where("_w > 0").withColumn("_b", F.pmod(F.xxhash64("_key"), F.lit(256)))
-    inside = Window.partitionBy("_b").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = spread.groupBy("_b").agg(F.sum("_w").alias("_bw"))
-    line = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    offsets = sizes.select("_b", (F.sum("_bw").over(line) - F.col("_bw")).alias("_from"), F.sum("_bw").over(line).alias("_to"), F.sum("_bw").over(Window.partitionBy()).alias("_all"))
-    rows = spread.withColumn("_hi", F.sum("_w").over(inside)).join(F.broadcast(offsets.select("_b", "_from")), "_b").withColumn("_hi", F.col("_hi") + F.col("_from")).withColumn("_lo", F.col("_hi") - F.col("_w"))
-    draws = spark.range(n).select(F.col("id").alias("draw"), unit_uniform(seed, F.col("id").cast("string")).alias("_u"))
-    placed = draws.join(F.broadcast(offsets), F.col("_u") * F.col("_all") < F.col("_to")).where(F.col("_u") * F.col("_all") >= F.col("_from")).withColumn("_at", F.col("_u") * F.col("_all"))
-    return placed.join(rows.select("_b", "_key", "_lo", "_hi"), "_b").where("_at >= _lo and _at < _hi").select("draw", F.col("_key").alias(key))
+    ordered = materialise(df.select(F.col(key).alias("_key"), F.col(weight).cast("double").alias("_w")).where("_w > 0").withColumn("_o", hash_order(seed, "_key")))
+    size = ordered.agg(F.count("*").alias("n"), F.sum("_w").alias("w")).first()
+    if not size.n:
+        return spark.createDataFrame([], df.select(F.lit(0).cast("bigint").alias("draw"), key).schema)
+    spread = ordered.withColumn("_b", F.substring("_o", 1, part_digits(size.n, bucket_rows)))
+    inside = Window.partitionBy("_b").orderBy("_o", "_key").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = spread.groupBy("_b").agg(F.sum("_w").alias("_bw")).select("_b", F.coalesce(F.sum("_bw").over(line), F.lit(0.0)).alias("_from"))
+    rows = spread.withColumn("_hi", F.sum("_w").over(inside)).join(offsets, "_b").withColumn("_hi", F.col("_hi") + F.col("_from")).withColumn("_lo", F.col("_hi") - F.col("_w"))
+    width = size.w / size.n
+    celled = rows.select("_key", "_lo", "_hi", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))).alias("_cell"))
+    draws = spark.range(n).select(F.col("id").alias("draw"), (unit_uniform(seed, F.col("id").cast("string")) * size.w).alias("_at")).withColumn("_cell", F.floor(F.col("_at") / width))
+    return draws.join(celled, "_cell").where("_at >= _lo and _at < _hi").select("draw", F.col("_key").alias(key))
 
 
 def unit_uniform(seed: int, key: Column) -> Column:

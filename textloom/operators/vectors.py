@@ -53,6 +53,14 @@ def member_lists(df: DataFrame, by: str, shard: Column, *members: str) -> DataFr
     return df.groupBy(by, shard.alias("shard")).agg(F.count("*").alias("n_organic"), *(F.array_sort(F.collect_list(m)).alias(f"member_{m}s") for m in members))
 
 
+def shards_for(rows: int, least: int = 16, limit: int = 1_000_000) -> int:
+    """How many shards keep lists of evenly spread members below ``limit``: a power of two, so that shards only ever divide."""
+    shards = least
+    while rows > shards * limit:
+        shards *= 2
+    return shards
+
+
 def small_groups(df: DataFrame, by: str, least: int = 3) -> DataFrame:
     return df.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") < least)
 

@@ -588,7 +588,8 @@ def trace_event_stream(s, d):
 
 @_query
 def cluster_members(s, d):
-    return G.member_lists(table(s, d, "embeddings").select("label", F.col("vec_id").alias("vec")), "label", F.col("vec") % 16, "vec").select("label", "shard", "n_organic", F.md5(F.array_join(F.transform("member_vecs", lambda x: x.cast("string")), ",")).alias("members"))
+    members = table(s, d, "embeddings").select("label", F.col("vec_id").alias("vec"))
+    return G.member_lists(members, "label", F.col("vec") % G.shards_for(members.count()), "vec").select("label", "shard", "n_organic", F.md5(F.array_join(F.transform("member_vecs", lambda x: x.cast("string")), ",")).alias("members"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

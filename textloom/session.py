@@ -39,13 +39,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; that one is used as it is. Only where
-    nothing is set (tests, a laptop) a temporary folder of this machine is taken.
+    nothing is set and the master is local (tests, a laptop) a temporary folder of this machine is taken; on a
+    cluster other machines couldn't read it, so there it is an error.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
     path = configured or os.path.join(tempfile.gettempdir(), f"textloom-checkpoints-{os.getuid()}")
     sc.setCheckpointDir(path)
     return path

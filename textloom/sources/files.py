@@ -23,6 +23,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    """Whether a path is a single file."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    system = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.exists(p) and system.getFileStatus(p).isFile()
+
+
 def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: str) -> DataFrame:
     """Line-delimited JSON. Blank lines are skipped, a broken line raises when it is read."""
     return spark.read.schema(schema).json(path if isinstance(path, str) else list(path), mode="FAILFAST")

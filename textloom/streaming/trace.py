@@ -5,7 +5,6 @@ Windowed counts with watermarks are an extension of this engine over the events
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from textloom.operators.selection import pool_merge
+from textloom.sources.files import exists, is_file
 from textloom.sources.sinks import json_safe
 
 
@@ -24,9 +24,9 @@ def trace_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def parquet_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """A folder (or file) of parquet as a stream, its schema taken from the data."""
     schema = spark.read.parquet(path).schema
-    folder, name = os.path.split(path.rstrip("/"))
+    folder, _, name = path.rstrip("/").rpartition("/")
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-    return reader.option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") and os.path.isfile(path) else reader.parquet(path)
+    return reader.option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") and is_file(spark, path) else reader.parquet(path)
 
 
 def windowed_counts(events: DataFrame, ts: str = "ts", by: str = "event_type", value: str = "value", width: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -58,24 +58,34 @@ def keep_pool(path: str, cap: int, schema: str) -> Callable[[DataFrame, int], No
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = [n for n in range(number - 1, -1, -1) if os.path.isdir(f"{path}/batch={n}")]
-        old = spark.read.schema(schema).parquet(f"{path}/batch={before[0]}") if before else spark.createDataFrame([], schema)
+        before = _last_batch(spark, path, number)
+        old = spark.read.schema(schema).parquet(before) if before else spark.createDataFrame([], schema)
         pool_merge(old, batch, cap).select(*[f.name for f in old.schema]).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return each
 
 
+def _last_batch(spark: SparkSession, path: str, number: int) -> str | None:
+    """The folder of the latest batch before ``number`` that was written, on whatever file system."""
+    return next((f"{path}/batch={n}" for n in range(number - 1, -1, -1) if exists(spark, f"{path}/batch={n}")), None)
+
+
 def keep_ratchet(path: str, key: str, score: str, schema: str) -> Callable[[DataFrame, int], None]:
-    """A batch function that appends, per key, the rows that are below everything seen before."""
+    """A batch function that appends, per key, the rows that are below everything seen before.
+
+    Beside each batch's rows the lowest score of every key so far is kept, so a batch reads one small table and not all batches.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        done = [n for n in range(number) if os.path.isdir(f"{path}/batch={n}")]
-        seen = spark.read.schema(schema).parquet(*(f"{path}/batch={n}" for n in done)) if done else spark.createDataFrame([], schema)
-        best = seen.groupBy(key).agg(F.min(score).alias("_best"))
+        names = [f.name for f in spark.createDataFrame([], schema).schema]
+        before = _last_batch(spark, f"{path}/lowest", number)
+        lowest = spark.read.parquet(before) if before else batch.select(key, F.col(score).alias("_best")).limit(0)
         w = Window.partitionBy(key).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-        fresh = batch.join(best, key, "left").withColumn("_best", F.least("_best", F.min(score).over(w)))
+        fresh = batch.join(lowest, key, "left").withColumn("_best", F.least("_best", F.min(score).over(w)))
         kept = fresh.where(F.col("_best").isNull() | (F.col(score) < F.col("_best"))).drop("_best")
-        kept.select(*[f.name for f in seen.schema]).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        kept.select(*names).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        now = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(score).alias("_best")).unionByName(lowest)
+        now.groupBy(key).agg(F.min("_best").alias("_best")).write.mode("overwrite").parquet(f"{path}/lowest/batch={number}")
 
     return each
