@@ -76,8 +76,8 @@ def _no_blanks(c: Column) -> Column:
 
 
 def stripped(c: Column) -> Column:
-    """A text without the blanks at its end, however many."""
-    return _no_blanks(c)
+    """A text without the blanks at its end, however many; only texts that end in one are searched for where they begin."""
+    return F.when(F.right(c, F.lit(1)).rlike(f"[{_BLANK}]"), _no_blanks(c)).otherwise(c)
 
 
 def last_line(text: Column) -> Column:
@@ -158,6 +158,11 @@ def _words(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def _beginning(line: Column) -> Column:
+    """The first ``PREFIX`` words of a line and what is before and between them."""
+    return F.regexp_extract(line, rf"^(?:[^\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}]++){{0,{PREFIX}}}", 0)
+
+
 def _prefixes(line: Column) -> Column:
     """Hashes of what a line begins with: three characters, and its first 1, 2 … ``PREFIX`` words."""
     words = F.slice(_words(line), 1, PREFIX)
@@ -174,9 +179,10 @@ def endings(df: DataFrame, text: Column) -> DataFrame:
     cols = [F.col(f"`{c}`") for c in df.columns if c != "text"]
     field = F.col("field") if "field" in df.columns else F.lit("")
     base = df.select(*cols, field.alias("_f"), F.length(text).alias("n_chars"), F.octet_length(text).alias("n_bytes"), F.xxhash64(text).alias("h"), stripped(text).alias("_text"))
-    base = base.withColumn("_last", last_line(F.col("_text"))).withColumn("_state", ending(F.col("_text"), F.col("_last"))).withColumn("_sig", line_signature(F.col("_last")))
+    base = base.withColumn("_last", last_line(F.col("_text"))).withColumn("_state", ending(F.col("_text"), F.col("_last"))).withColumn("_sig", F.when(F.col("_state") == "open", line_signature(F.col("_last"))))
+    base = base.withColumn("_begin", line_signature(_beginning(F.col("_last"))))
     asked = (F.col("_state") == "open") & (F.length("_sig") >= 3) & ~F.col("_sig").rlike(r"(?:\x{FFFD}|\.\.\.|…|,)$")
-    base = base.select(*cols, "_f", "n_chars", "n_bytes", "h", "_state", F.when(asked, F.col("_sig")).alias("_line"), F.when(asked, F.xxhash64(F.slice(F.reverse(_words(line_before(F.col("_text")))), 1, PREFIX // 2))).alias("_before"), F.when(F.col("_state") != "none", _prefixes(F.col("_sig"))).alias("_head"))
+    base = base.select(*cols, "_f", "n_chars", "n_bytes", "h", "_state", F.when(asked, F.col("_sig")).alias("_line"), F.when(asked, F.xxhash64(F.slice(F.reverse(_words(line_before(F.col("_text")))), 1, PREFIX // 2))).alias("_before"), F.when(F.col("_state") != "none", _prefixes(F.col("_begin"))).alias("_head"))
     base = materialise(base)  # read several times; the texts only once
     out = base.drop("_before", "_head").join(_recurring(base), ["_f", "_line"], "left")
     return out.select(*cols, "n_chars", "n_bytes", "h", F.when((F.col("_state") == "open") & F.col("_recurs"), "complete").otherwise(F.col("_state")).alias("ending"))
