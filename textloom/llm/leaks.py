@@ -1,11 +1,12 @@
 """Evaluation texts leaking into training text.
 
-1. *Rare seeds.* All runs of ``SEED`` words of the evaluation items are counted over every document (one pass,
-   map-side sums). For each window of ``RUN`` words of an item the run with the lowest count is made a seed, so
-   that no leaked window is without one, and common phrases are searched only where there is nothing rarer.
-2. *Join.* A second pass looks every run of ``SEED`` words of every document up in the seed table. The
-   evaluation set is small by nature; its size is checked, and up to ``BROADCAST_WORDS`` words the table goes
+1. *Join.* One pass looks every run of ``SEED`` words of every document up in the table of the items' runs and writes
+   the places found, with the words (as numbers) of the documents that have any. The evaluation set is
+   small by nature; its size is checked, and up to ``BROADCAST_WORDS`` words the table goes
    to the workers as it is. Beyond that, items go block by block (``leaks_in_blocks``).
+2. *Rare seeds.* The places are counted by run over all documents. For each window of ``RUN`` words of an item the run
+   with the lowest count is made a seed, so that no leaked window is without one, and common phrases are
+   followed only where there is nothing rarer.
 3. *Alignment.* Hits of one document and item are chained by diagonal into passages, and each passage is
    aligned with the item by Smith-Waterman (word matches, substitutions and gaps), in which edits split the
    passage but do not end it. The score, the aligned words and the longest unbroken run come out.
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import tokens
+from textloom.session import materialise
 
 SEED, RUN = 6, 12
 #: Largest evaluation set (in words) that is given to the workers whole: 8 bytes a word and as much for seeds.
@@ -68,23 +70,34 @@ def _lookup(sh: np.ndarray, table: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return maybe[table[at] == sh[maybe]]
 
 
-def seed_counts(docs: DataFrame, text_col: str, grams: np.ndarray) -> DataFrame:
-    """(gram, n): how often each given run occurs in all documents."""
+def seed_places(docs: DataFrame, doc_id: str, text_col: str, grams: np.ndarray) -> DataFrame:
+    """(doc, run, at, words): of each document with any of the given runs, which ones and where, and all its words as 32-bit numbers."""
     table = np.unique(grams)
     bits = _filter(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(table), np.int64)
         for batch in batches:
-            h, at = tokens.hash_texts(batch.column(0).to_pylist(), strip_accents=True)
-            sh, _ = tokens.shingles(h, at, SEED)
-            if len(sh):
-                found = sh[_lookup(sh, table, bits)]
-                np.add.at(total, np.searchsorted(table, found), 1)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(table[some].view(np.int64)), pa.array(total[some])], names=["gram", "n"])
+            h, at = tokens.hash_texts(batch.column(1).to_pylist(), strip_accents=True)
+            sh, first = _grams(h, at)
+            hit = _lookup(sh, table, bits) if len(sh) else np.zeros(0, np.int64)
+            doc = np.searchsorted(at, first[hit], side="right") - 1
+            kept, start = np.unique(doc, return_index=True)
+            ends = np.append(start, len(hit)).astype(np.int32)
+            short = _short(h)
+            arrays = [
+                batch.column(0).take(pa.array(kept, pa.int64())),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.searchsorted(table, sh[hit]).astype(np.int32))),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array((first[hit] - at[doc]).astype(np.int32))),
+                pa.array([short[at[d] : at[d + 1]].tobytes() for d in kept], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc", "run", "at", "words"])
 
-    return docs.select(F.col(text_col).alias("t")).where("t is not null").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(doc_id).cast("bigint"), F.col(text_col)).where(F.col(text_col).isNotNull()).mapInArrow(run, "doc bigint, run array<int>, at array<int>, words binary")
+
+
+def _short(h: np.ndarray) -> np.ndarray:
+    """Words as 32-bit numbers, for comparing words of a few texts with each other."""
+    return (h >> np.uint64(32)).astype(np.uint32)
 
 
 def rare_seeds(h: np.ndarray, at: np.ndarray, counts: dict[int, int]) -> np.ndarray:
@@ -168,38 +181,44 @@ def _leaks(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text_co
     spark = docs.sparkSession
     ids, h, at = _items(items, item_id, text_col)
     sh, first = _grams(h, at)
+    schema = f"{doc_id} bigint, {item_id} bigint, score int, matched int, longest_run int, contains boolean"
     if not len(sh):
-        return spark.createDataFrame([], f"{doc_id} bigint, {item_id} bigint, score int, matched int, longest_run int, contains boolean")
-    counts = {r.gram: r.n for r in seed_counts(docs, text_col, sh).collect()}  # at most one row per run of an item
+        return spark.createDataFrame([], schema)
+    table = np.unique(sh)
+    found = materialise(seed_places(docs, doc_id, text_col, sh))
+    counts = {int(table[r.run].view(np.int64)): r.n for r in found.select(F.explode("run").alias("run")).groupBy("run").agg(F.count("*").alias("n")).collect()}  # at most one row per run of an item
     seeds = np.isin(first, rare_seeds(h, at, counts))
-    order = np.argsort(sh[seeds], kind="stable")
-    table, places = sh[seeds][order], first[seeds][order]
-    bits = _filter(table)
+    which = np.searchsorted(table, sh[seeds])
+    order = np.argsort(which, kind="stable")
+    places = first[seeds][order]
+    from_, to = np.searchsorted(which[order], np.arange(len(table)), "left"), np.searchsorted(which[order], np.arange(len(table)), "right")
+    items_ = _short(h)
+    owner = np.searchsorted(at, places, side="right") - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs_ = batch.column(0).to_pylist()
-            dh, dat = tokens.hash_texts(batch.column(1).to_pylist(), strip_accents=True)
-            grams, where = _grams(dh, dat)
             rows: list[tuple] = []
-            if len(grams):
-                hit = _lookup(grams, table, bits)
-                lo, hi = np.searchsorted(table, grams[hit], "left"), np.searchsorted(table, grams[hit], "right")
-                which = np.repeat(np.arange(len(hit)), hi - lo)
-                place = places[np.arange(len(which)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)]
-                spot = where[hit][which]
-                doc, item = np.searchsorted(dat, spot, side="right") - 1, np.searchsorted(at, place, side="right") - 1
-                for pair in np.unique(doc * len(ids) + item):
-                    d, i = divmod(int(pair), len(ids))
-                    own = (doc == d) & (item == i)
-                    score, matched, longest = _align(dh[dat[d] : dat[d + 1]], h[at[i] : at[i + 1]], spot[own] - dat[d], place[own] - at[i])
+            runs, spots, docs_, texts = (batch.column(i) for i in range(4))
+            for runs_, spots_, doc, words in zip(runs, spots, docs_.to_pylist(), texts):
+                gram, spot = runs_.values.to_numpy(), spots_.values.to_numpy().astype(np.int64)
+                lo, hi = from_[gram], to[gram]
+                if not (hi > lo).any():
+                    continue
+                own = np.repeat(np.arange(len(gram)), hi - lo)
+                place = np.arange(len(own)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
+                by_item = np.argsort(owner[place], kind="stable")
+                own, place = own[by_item], place[by_item]
+                ends = np.flatnonzero(np.append(np.diff(owner[place]) != 0, True)) + 1
+                text = np.frombuffer(words.as_py(), np.uint32)
+                for a, b in zip(np.append(0, ends[:-1]), ends):
+                    i = owner[place[a]]
+                    score, matched, longest = _align(text, items_[at[i] : at[i + 1]], spot[own[a:b]], places[place[a:b]] - at[i])
                     if score >= MIN_SCORE or longest >= RUN:
-                        rows.append((docs_[d], ids[i], score, matched, longest, longest >= RUN))
+                        rows.append((doc, ids[i], score, matched, longest, longest >= RUN))
             columns = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()))], names=[doc_id, item_id, "score", "matched", "longest_run", "contains"])
 
-    ready = docs.select(F.col(doc_id).cast("bigint"), F.col(text_col)).where(F.col(text_col).isNotNull())
-    return ready.mapInArrow(run, f"{doc_id} bigint, {item_id} bigint, score int, matched int, longest_run int, contains boolean")
+    return found.select("run", "at", "doc", "words").mapInArrow(run, schema)
 
 
 def leaks_in_blocks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", block_chars: int = CHARS_A_WORD * BROADCAST_WORDS) -> DataFrame:
