@@ -2,18 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from textloom.functions.text import word_tokens
 
 ORDERS, EPSILON = 4, 0.1
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
 
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(by, key, word hashes) to (by, key, g, c): every n-gram of a document with its count.
 
-def _grams(n: int) -> Column:
-    """The n-grams of ``_w``, as their order and hash."""
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - n + 1))
-    return F.transform(starts, lambda i: F.struct(F.lit(n).alias("o"), F.xxhash64(F.slice("_w", i, n)).alias("g")))
+    Hashes roll from one order to the next over a whole batch; the two lowest bits of g are the order less one.
+    """
+    for batch in batches:
+        words = batch.column(2)
+        h = words.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        at = np.concatenate(([0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+        owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        grams, docs, rolled = [], [], h
+        for n in range(ORDERS):
+            if n:
+                rolled = rolled[:-1] * _STEP + h[n:]
+            inside = np.arange(len(rolled)) + n < at[owner[: len(rolled)] + 1]
+            mixed = (rolled ^ (rolled >> np.uint64(31))) * _MIX
+            grams.append(((mixed ^ (mixed >> np.uint64(29))) & ~np.uint64(3) | np.uint64(n))[inside])
+            docs.append(owner[: len(rolled)][inside])
+            if len(rolled) < 2:
+                break
+        g, doc = np.concatenate(grams), np.concatenate(docs)
+        order = np.lexsort((g, doc))
+        g, doc = g[order], doc[order]
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(g)), bool), (g[1:] != g[:-1]) | (doc[1:] != doc[:-1]))))
+        rows = pa.array(doc[first])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(g[first].view(np.int64)), pa.array(np.diff(np.append(first, len(g))))], names=["_by", "_key", "_g", "_c"])
 
 
 def self_bleu(df: DataFrame, key: str, text: str, by: str) -> DataFrame:
@@ -23,18 +51,18 @@ def self_bleu(df: DataFrame, key: str, text: str, by: str) -> DataFrame:
     follows from the two largest counts in the group. The closest reference length follows from the neighbours in
     the list of lengths. A zero count becomes ``EPSILON`` (smoothing method 1).
     """
-    docs = df.where(F.col(text).isNotNull()).select(F.col(by).alias("_by"), F.col(key).alias("_key"), word_tokens(text).alias("_w")).withColumn("_len", F.size("_w"))
-    grams = [_grams(n) for n in range(1, ORDERS + 1)]
-    kept = F.concat(*(F.when(F.size("_w") >= n, g).otherwise(F.array().cast("array<struct<o:int,g:bigint>>")) for n, g in enumerate(grams, 1)))
-    counts = docs.select("_by", "_key", F.explode(kept).alias("_x")).groupBy("_by", "_key", F.col("_x.o").alias("_o"), F.col("_x.g").alias("_g")).agg(F.count("*").alias("_c"))
+    words = word_tokens(text)
+    docs = df.where(F.col(text).isNotNull()).select(F.col(by).alias("_by"), F.col(key).alias("_key"), F.transform(words, lambda w: F.xxhash64(w)).alias("_w")).withColumn("_len", F.size("_w"))
+    base = docs.select("_by", "_key", "_w")
+    counts = base.mapInArrow(_gram_counts, StructType([base.schema["_by"], base.schema["_key"], StructField("_g", LongType()), StructField("_c", LongType())]))
     # The two largest counts of each n-gram: the values that occur, with the number of documents that have the largest.
-    values = counts.groupBy("_by", "_o", "_g", "_c").agg(F.count("*").alias("_m"))
-    top = values.groupBy("_by", "_o", "_g").agg(F.max(F.struct("_c", "_m")).alias("_t"), F.array_sort(F.collect_list("_c")).alias("_cs"))
-    top = top.select("_by", "_o", "_g", F.col("_t._c").alias("_c1"), F.col("_t._m").alias("_m1"), F.coalesce(F.try_element_at("_cs", F.lit(-2)), F.lit(0)).alias("_c2"))
+    values = counts.groupBy("_by", "_g", "_c").agg(F.count("*").alias("_m"))
+    top = values.groupBy("_by", "_g").agg(F.max(F.struct("_c", "_m")).alias("_t"), F.array_sort(F.collect_list("_c")).alias("_cs"))
+    top = top.select("_by", "_g", F.col("_t._c").alias("_c1"), F.col("_t._m").alias("_m1"), F.coalesce(F.try_element_at("_cs", F.lit(-2)), F.lit(0)).alias("_c2"))
     top = top.where("_m1 > 1 or _c2 > 0")  # an n-gram of one document alone matches nothing
     other = F.when((F.col("_c") < F.col("_c1")) | (F.col("_m1") > 1), F.col("_c1")).otherwise(F.col("_c2"))
-    clipped = counts.join(top, ["_by", "_o", "_g"]).groupBy("_by", "_key", "_o").agg(F.sum(F.least("_c", other)).alias("_hit"))
-    hits = clipped.groupBy("_by", "_key").agg(*(F.sum(F.when(F.col("_o") == n, F.col("_hit"))).alias(f"_h{n}") for n in range(1, ORDERS + 1)))
+    order = F.col("_g").bitwiseAND(3)
+    hits = counts.join(top, ["_by", "_g"]).groupBy("_by", "_key").agg(*(F.sum(F.when(order == n - 1, F.least("_c", other))).alias(f"_h{n}") for n in range(1, ORDERS + 1)))
     lengths = docs.groupBy("_by", "_len").agg(F.count("*").alias("_same"))
     w = Window.partitionBy("_by").orderBy("_len")
     lengths = lengths.withColumn("_below", F.lag("_len").over(w)).withColumn("_above", F.lead("_len").over(w)).withColumn("_docs", F.sum("_same").over(Window.partitionBy("_by")))
