@@ -239,8 +239,9 @@ def test_complete_distance_is_that_of_all_symbols():
     rng = np.random.default_rng(2)
     symbols = rng.integers(0, 2**32, (2, 56)).astype(np.uint32)
     symbols[1, :20] = symbols[0, :20]
-    v0, v1 = near_duplicates.packed_symbols(symbols)
-    count = lambda x: sum(((x >> (2 * i)) & 3) != 0 for i in range(32))
-    assert count(int(v0[0]) ^ int(v0[1])) + count(int(v1[0]) ^ int(v1[1])) == int(((symbols[0] & 3) != (symbols[1] & 3)).sum())
+    for bits, words in ((3, 3), (2, 2)):
+        packed = near_duplicates.packed_symbols(symbols, bits, words)
+        count = lambda x: sum(((x >> (bits * i)) & (2**bits - 1)) != 0 for i in range(64 // bits))  # noqa: B023, E731
+        assert sum(count(int(v[0]) ^ int(v[1])) for v in packed) == int(((symbols[0] & (2**bits - 1)) != (symbols[1] & (2**bits - 1))).sum())
     keys = near_duplicates.segment_keys(symbols)
     assert keys.shape == (2, 56) and (keys[0, :20] == keys[1, :20]).all() and not (keys[0, 24:] == keys[1, 24:]).any()

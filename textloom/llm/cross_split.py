@@ -60,7 +60,7 @@ def _sketches(df: DataFrame, min_words: int) -> DataFrame:
             sh, starts = tokens.shingles(h, at)
             keep = np.flatnonzero(np.diff(at) >= min_words)
             symbols = tokens.minhashes(sh, starts, BANDS * ROWS)[keep]
-            v0, v1 = packed_symbols(symbols[:, :CHECKS])
+            v0, v1 = packed_symbols(symbols[:, :CHECKS], 2, 2)
             values = symbols.reshape(len(keep), BANDS, ROWS).astype(np.uint64)
             keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(keep), 1))
             for i in range(ROWS):
@@ -141,7 +141,7 @@ def cross_split_classes(records: DataFrame, manifest: DataFrame | None = None, m
     shard = F.pmod(F.xxhash64(F.lit("shard"), "cls"), F.lit(shards)).cast("int")
     e_keys = eval_side.select(F.explode("keys").alias("k"), shard.alias("shard"), "v0", "v1").alias("x")
     t_keys = train_side.select(F.explode("keys").alias("k"), "cls", "rec_id", "v0", "v1").alias("y")
-    near = F.expr(f"x.k = y.k and {symbol_distance('x.v0', 'y.v0')} + {symbol_distance('x.v1', 'y.v1')} <= {MAX_DISTANCE}")
+    near = F.expr(f"x.k = y.k and {symbol_distance('x', 'y', 2, 2)} <= {MAX_DISTANCE}")
     routes = materialise(t_keys.join(e_keys, near).select("y.cls", "y.rec_id", "x.shard").distinct())
     load = routes.groupBy("shard").agg(F.ceil(F.count("*") / PART_TEXTS).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64(F.lit("part"), "cls"), F.col("parts")).cast("int").alias("part")

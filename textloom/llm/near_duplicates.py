@@ -39,11 +39,11 @@ from textloom.llm.components import connected_components
 from textloom.session import materialise
 
 SEGMENTS, WIDTH = 14, 4
-#: Bits of each symbol that distances are told by: 56 symbols of 2 bits are two 64-bit words.
-SYMBOL_BITS = 2
+#: Bits of each symbol that distances are told by, and 64-bit words that hold them: 56 symbols of 3 bits.
+SYMBOL_BITS, PACKED = 3, 3
 #: Largest complete distance of a match that is looked at further. Fingerprints of similarity 0.5 differ in
-#: 56 * 0.5 * 3/4 = 21 symbols on average with a standard deviation of 3.6, unrelated ones that meet in a table in 40.
-MAX_DISTANCE = 31
+#: 56 * 0.5 * 7/8 = 24.5 symbols on average with a standard deviation of 3.7, those of similarity 0.1 that meet in a table in 42.
+MAX_DISTANCE = 34
 
 
 def segment_keys(symbols: np.ndarray) -> np.ndarray:
@@ -61,23 +61,27 @@ def segment_keys(symbols: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def packed_symbols(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The low bits of all symbols (64 at most), packed into two 64-bit words."""
-    low = (symbols & np.uint32((1 << SYMBOL_BITS) - 1)).astype(np.uint64)
-    half = -(-symbols.shape[1] // 2)
-    words = []
-    for part in (low[:, :half], low[:, half:]):
+def packed_symbols(symbols: np.ndarray, bits: int = SYMBOL_BITS, words: int = PACKED) -> list[np.ndarray]:
+    """The low bits of all symbols, packed into 64-bit words."""
+    low = (symbols & np.uint32((1 << bits) - 1)).astype(np.uint64)
+    each = -(-symbols.shape[1] // words)
+    out = []
+    for start in range(0, each * words, each):
         value = np.zeros(len(symbols), np.uint64)
-        for i in range(part.shape[1]):
-            value |= part[:, i] << np.uint64(i * SYMBOL_BITS)
-        words.append(value.view(np.int64))
-    return words[0], words[1]
+        for i in range(start, min(start + each, symbols.shape[1])):
+            value |= low[:, i] << np.uint64((i - start) * bits)
+        out.append(value.view(np.int64))
+    return out
 
 
-def symbol_distance(left: str, right: str) -> str:
-    """SQL: in how many 2-bit symbols two packed words differ."""
-    x = f"({left} ^ {right})"
-    return f"bit_count(({x} | shiftrightunsigned({x}, 1)) & 6148914691236517205L)"
+def symbol_distance(left: str, right: str, bits: int = SYMBOL_BITS, words: int = PACKED) -> str:
+    """SQL: in how many symbols the packed words v0, v1 … of two rows differ."""
+    lowest = sum(1 << bits * i for i in range(64 // bits))
+    parts = []
+    for i in range(words):
+        x = f"({left}.v{i} ^ {right}.v{i})"
+        parts.append("bit_count((" + " | ".join([x, *(f"shiftrightunsigned({x}, {b})" for b in range(1, bits))]) + f") & {lowest}L)")
+    return "(" + " + ".join(parts) + ")"
 
 
 def with_class(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
@@ -93,7 +97,7 @@ def class_texts(classed: DataFrame) -> DataFrame:
 
 
 def keyed(texts: DataFrame) -> DataFrame:
-    """(k, cls, v0, v1): a row for each table key of each class, with its whole fingerprint."""
+    """(k, cls, v0, v1, v2): a row for each table key of each class, with its whole fingerprint."""
     n_keys = SEGMENTS * WIDTH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,17 +105,16 @@ def keyed(texts: DataFrame) -> DataFrame:
             h, at = tokens.hash_texts(batch.column(1).to_pylist())
             sh, starts = tokens.shingles(h, at)
             symbols = tokens.minhashes(sh, starts, n_keys)
-            v0, v1 = packed_symbols(symbols)
-            columns = [segment_keys(symbols).ravel(), np.repeat(batch.column(0).to_numpy(), n_keys), np.repeat(v0, n_keys), np.repeat(v1, n_keys)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k", "cls", "v0", "v1"])
+            columns = [segment_keys(symbols).ravel(), np.repeat(batch.column(0).to_numpy(), n_keys), *(np.repeat(v, n_keys) for v in packed_symbols(symbols))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k", "cls", *(f"v{i}" for i in range(PACKED))])
 
-    return texts.mapInArrow(run, "k bigint, cls bigint, v0 bigint, v1 bigint")
+    return texts.mapInArrow(run, "k bigint, cls bigint, " + ", ".join(f"v{i} bigint" for i in range(PACKED)))
 
 
 def class_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity), a < b: pairs of different classes whose similarity reaches the threshold."""
     keys = keyed(texts)
-    distance = f"{symbol_distance('x.v0', 'y.v0')} + {symbol_distance('x.v1', 'y.v1')} <= {MAX_DISTANCE}"
+    distance = f"{symbol_distance('x', 'y')} <= {MAX_DISTANCE}"
     near = keys.alias("x").join(keys.alias("y"), F.expr(f"x.k = y.k and x.cls < y.cls and {distance}")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
     left, right = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
     both = near.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
