@@ -216,6 +216,6 @@ def truncation_rates(verdicts: DataFrame) -> DataFrame:
     cut = F.col("kind").isNotNull()
     return verdicts.groupBy("source").agg(
         F.count("*").alias("texts"), F.sum(cut.cast("bigint")).alias("cut"),
-        F.sum((F.col("kind") == "field_limit").cast("bigint")).alias("at_field_limit"),
+        F.count_if(F.col("kind") == "field_limit").alias("at_field_limit"),
         F.round(F.avg(cut.cast("double")), 6).alias("share"),
     )
