@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.functions.vectors import clamp
-from textloom.operators.selection import first_rows
+from textloom.operators.selection import first_rows, top_k
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -76,12 +76,21 @@ def improving(df: DataFrame, improvement: str, at_least: float) -> DataFrame:
     return df.where(F.col(improvement) >= at_least)
 
 
-def instruction_filter(df: DataFrame, instruction: str, context: str, output: str, max_chars: int = 150, min_words: int = 50, max_words: int = 500, keywords: Sequence[str] = T.KEYWORDS) -> DataFrame:
-    """Essay-like instructions: no context, short instruction with a keyword, answer of a fair length."""
+def instruction_filter(df: DataFrame, instruction: str, context: str, output: str, max_chars: int = 150, min_words: int = 50, max_words: int = 500, keywords: Sequence[str] = T.KEYWORDS, max_samples: int | None = None, order: Sequence[str] = ()) -> DataFrame:
+    """Essay-like instructions: no context, short instruction with a keyword, answer of a fair length.
+
+    With ``max_samples`` the first so many of them in the given order, as a scan that stops there would have them.
+    """
     i, o = F.col(instruction), F.col(output)
     blank = T.strip(F.coalesce(F.col(context), F.lit(""))) == ""
     filled = (T.strip(i) != "") & (T.strip(o) != "")
-    return df.where(blank & filled & (F.length(T.strip(i)) <= max_chars) & T.any_keyword(i, tuple(keywords)) & T.word_count(o).between(min_words, max_words))
+    kept = df.where(blank & filled & (F.length(T.strip(i)) <= max_chars) & T.any_keyword(i, tuple(keywords)) & T.word_count(o).between(min_words, max_words))
+    return kept if max_samples is None else top_k(kept, max_samples, *(F.col(c).asc() for c in order))
+
+
+def score_below(df: DataFrame, score: str, threshold: float) -> DataFrame:
+    """Rows whose score is below a threshold; null and NaN scores are not."""
+    return df.where(F.col(score) < threshold)
 
 
 def missing_prompts(df: DataFrame, *prompts: str) -> DataFrame:

@@ -263,6 +263,32 @@ g AS (SELECT * FROM (SELECT unnest([0.5, 1.0, 1.5]::DOUBLE[]) AS ga), (SELECT un
 SELECT ga AS alpha_semantic, gb AS alpha_rouge, gc AS alpha_bertscore, round(avg((x < 0.5)::INTEGER::DOUBLE), 6) AS fool_rate_hard, round(avg(1.0::DOUBLE / (1.0::DOUBLE + exp(-40.0::DOUBLE * (0.5::DOUBLE - x)))), 6) AS fool_rate_approx FROM x GROUP BY ga, gb, gc""",
         "trace_event_stream": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
         "cluster_members": "SELECT label, vec_id % 16 AS shard, count(*) AS n_organic, md5(string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id)) AS members FROM embeddings GROUP BY ALL",
+        "score_below": "SELECT rec_id FROM prompt_pairs WHERE output_slop_score < 0.3",
+        "penalised_scores": f"""WITH e AS (SELECT rec_id, score, length(text) AS n, len({words('text')}) >= 30 AS ok FROM fool_essays WHERE text IS NOT NULL AND score IS NOT NULL)
+SELECT rec_id, round(CASE WHEN ok THEN score ELSE 1.0 END, 6) AS score, round(CASE WHEN ok THEN n / 10000.0::DOUBLE ELSE 0.0 END, 6) AS similarity FROM e""",
+        "usable_essays": "SELECT rec_id FROM prompt_pairs WHERE baseline_essay <> '' AND best_essay <> '' AND source IN ('organic', 'augmented')",
+        "with_defaults": "SELECT rec_id, coalesce(score, 0.5) AS score, coalesce(domain, 'none') AS domain, 'en' AS lang FROM fool_essays",
+        "training_record": "SELECT rec_id, md5('rewrite: ' || input_prompt) AS source_text, md5(output_prompt) AS target_text FROM prompt_pairs WHERE input_prompt IS NOT NULL",
+        "nested_fields": "SELECT doc_id, n_chars::DOUBLE AS n, try_cast(lang AS DOUBLE) AS lang, round::DOUBLE AS round FROM documents",
+        "routed_rows": f"""SELECT rec_id, CASE WHEN baseline_essay <> '' AND best_essay <> '' THEN 'score' ELSE 'build' END AS route FROM prompt_pairs
+WHERE {strip("coalesce(topic, '')")} <> '' AND input_prompt <> '' AND output_prompt <> ''""",
+        "assigned_templates": f"""WITH {CENTROIDS}, s AS (SELECT vec_id, cen.label AS cluster_id, list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), c) AS sim FROM embeddings, cen),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 12) DESC, cluster_id) AS rn FROM s)
+SELECT vec_id, cluster_id::BIGINT AS cluster_id, 'Write about ' || cluster_id AS canonical_template FROM r WHERE rn = 1 AND sim >= 0.2 AND cluster_id % 3 <> 0""",
+        "round_robin": """WITH n AS (SELECT mutation_op, row_number() OVER (ORDER BY min(rec_id)) - 1 AS i, count(*) OVER () AS k FROM prompt_pairs WHERE mutation_op IS NOT NULL GROUP BY mutation_op)
+SELECT p.place, n.mutation_op FROM (SELECT unnest(range(1000)) AS place) p JOIN n ON p.place % n.k = n.i""",
+        "semantic_drift": """SELECT a.vec_id, round(CASE WHEN b.vec_id IS NULL THEN 1.0 ELSE 1.0 - greatest(0.0, least(1.0, list_cosine_similarity(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)))) END, 5) AS drift
+FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
+        "drift_sensitivity": """WITH p AS (SELECT output_slop_score AS s FROM prompt_pairs WHERE output_slop_score IS NOT NULL), g AS (SELECT unnest([0.0, 0.35, 0.7, 1.05]::DOUBLE[]) AS gb),
+x AS (SELECT gb, s + 1.0::DOUBLE * (s / 2) + gb * (s / 3) + 0.5::DOUBLE * (s / 5) AS x FROM p, g)
+SELECT gb AS alpha_rouge, round(avg((x < 0.5)::INTEGER::DOUBLE), 6) AS fool_rate_hard, round(avg(1.0::DOUBLE / (1.0::DOUBLE + exp(-40.0::DOUBLE * (0.5::DOUBLE - x)))), 6) AS fool_rate_approx FROM x GROUP BY gb""",
+        "parsed_triplets": f"""WITH x AS (SELECT rec_id, {strip('input_prompt')} AS a, {strip('output_prompt')} AS b, coalesce(mutation_op, '') AS style FROM prompt_pairs WHERE input_prompt IS NOT NULL AND output_prompt IS NOT NULL)
+SELECT rec_id, md5(CASE WHEN a = '' THEN 'You are a thoughtful writer.' ELSE a END) AS system_prompt, md5(CASE WHEN contains(b, '{{topic}}') THEN b ELSE b || ' Topic: {{topic}}.' END) AS user_template, style FROM x""",
+        "weighted_mix_sample": f"""WITH w AS (SELECT rec_id, source, CASE source WHEN 'alpaca' THEN 0.4 WHEN 'cross_topic' THEN 0.7 WHEN 'augmented' THEN 0.3 ELSE 1.0 END::DOUBLE AS w FROM prompt_pairs),
+line AS (SELECT source, w, sum(w) OVER (ORDER BY {hash_order(42, 'rec_id')}, rec_id ROWS UNBOUNDED PRECEDING) AS hi FROM w),
+u AS (SELECT {uniform(42, 'i::VARCHAR')} * (SELECT sum(w) FROM w) AS spot FROM (SELECT unnest(range(5000)) AS i))
+SELECT source, count(*) AS n FROM u JOIN line ON spot >= hi - w AND spot < hi GROUP BY source""",
     }
+    out["keyword_filter_first"] = f"SELECT rec_id, line_no FROM ({out['keyword_filter']}) ORDER BY rec_id, line_no LIMIT 40"
     out["topk_fitness"] = f"SELECT prompt_id, fitness FROM ({out['candidate_agg']}) ORDER BY fitness DESC NULLS LAST, prompt_id LIMIT 12"
     return out

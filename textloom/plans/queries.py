@@ -592,5 +592,86 @@ def cluster_members(s, d):
     return G.member_lists(members, "label", F.col("vec") % G.shards_for(members.count()), "vec").select("label", "shard", "n_organic", F.md5(F.array_join(F.transform("member_vecs", lambda x: x.cast("string")), ",")).alias("members"))
 
 
+@_query
+def score_below(s, d):
+    return rows.score_below(_pairs(s, d), "output_slop_score", 0.3).select("rec_id")
+
+
+@_query
+def keyword_filter_first(s, d):
+    lines = _pairs(s, d).select("rec_id", F.posexplode(F.split("input_prompt", "\n")).alias("line_no", "instruction"), F.lit("").alias("context"), F.col("best_essay").alias("output"))
+    return rows.instruction_filter(lines, "instruction", "context", "output", max_samples=40, order=("rec_id", "line_no")).select("rec_id", "line_no")
+
+
+@_query
+def penalised_scores(s, d):
+    e = table(s, d, "fool_essays").where("text is not null and score is not null")
+    score, similarity = rows.penalised(T.word_count("text") >= 30, F.col("score"), F.length("text") / 10000.0)
+    return e.select("rec_id", r6(score).alias("score"), r6(similarity).alias("similarity"))
+
+
+@_query
+def usable_essays(s, d):
+    return rows.usable_essays(_pairs(s, d), ("organic", "augmented")).select("rec_id")
+
+
+@_query
+def with_defaults(s, d):
+    filled = rows.with_defaults(table(s, d, "fool_essays").select("rec_id", "score", "domain"), {"score": 0.5, "domain": "none", "lang": "en"})
+    return filled.select("rec_id", "score", "domain", "lang")
+
+
+@_query
+def training_record(s, d):
+    made = rows.training_record(_pairs(s, d).where("input_prompt is not null"), {"input_prompt": "source_text", "output_prompt": "target_text", "rec_id": "rec_id"}, "rewrite: ")
+    return made.select("rec_id", F.md5("source_text").alias("source_text"), F.md5("target_text").alias("target_text"))
+
+
+@_query
+def nested_fields(s, d):
+    packed = _docs(s, d).select("doc_id", F.struct("n_chars", "lang", F.struct("round").alias("run")).alias("meta"))
+    return rows.nested_fields(packed, n="meta.n_chars", lang="meta.lang", round="meta.run.round").select("doc_id", "n", "lang", "round")
+
+
+@_query
+def routed_rows(s, d):
+    scored, built = rows.routed(_pairs(s, d), "baseline_essay", "best_essay")
+    return scored.select("rec_id", F.lit("score").alias("route")).unionByName(built.select("rec_id", F.lit("build").alias("route")))
+
+
+@_query
+def assigned_templates(s, d):
+    near = joins.nearest(table(s, d, "embeddings"), _centres(s, d), "vec_id", "embedding")
+    named = _centres(s, d).select("cluster_id", F.when(F.col("cluster_id") % 3 == 0, " ").otherwise(F.concat(F.lit("Write about "), F.col("cluster_id").cast("string"))).alias("canonical_template"))
+    return joins.assigned_templates(near, named, at_least=0.2).select("vec_id", F.col("cluster_id").cast("bigint").alias("cluster_id"), "canonical_template")
+
+
+@_query
+def round_robin(s, d):
+    seeds = _pairs(s, d).where("mutation_op is not null").groupBy("mutation_op").agg(F.min("rec_id").alias("rec_id"))
+    return rounds.round_robin(s, seeds, 1000, "rec_id").select("place", "mutation_op")
+
+
+@_query
+def semantic_drift(s, d):
+    e = table(s, d, "embeddings").select("vec_id", "embedding")
+    following = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("following"))
+    return e.join(following, "vec_id", "left").select("vec_id", F.round(V.semantic_drift(F.col("embedding"), F.col("following")), 5).alias("drift"))
+
+
+@_query
+def drift_sensitivity(s, d):
+    p = _pairs(s, d).where("output_slop_score is not null").select(F.col("output_slop_score").alias("detector_slop"), (F.col("output_slop_score") / 2).alias("drift_semantic"), (F.col("output_slop_score") / 3).alias("drift_rouge_l"), (F.col("output_slop_score") / 5).alias("drift_bertscore"))
+    made = search.sensitivity(p, {"semantic": 1.0, "rouge": 0.35, "bertscore": 0.5}, "rouge", [0.0, 0.35, 0.7, 1.05])
+    return made.select("alpha_rouge", r6("fool_rate_hard").alias("fool_rate_hard"), r6("fool_rate_approx").alias("fool_rate_approx"))
+
+
+@_query
+def parsed_triplets(s, d):
+    block = F.concat(F.lit("SYSTEM: "), "input_prompt", F.lit("\nUSER: "), "output_prompt", F.lit("\nSTYLE: "), F.coalesce("mutation_op", F.lit("")))
+    parsed = _pairs(s, d).where("input_prompt is not null and output_prompt is not null").select("rec_id", T.parse_triplet(block).alias("x"))
+    return parsed.select("rec_id", F.md5("x.system_prompt").alias("system_prompt"), F.md5("x.user_template").alias("user_template"), F.col("x.style_instructions").alias("style"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_REGISTRY)

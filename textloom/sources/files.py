@@ -48,6 +48,11 @@ def read_jsonl_files(spark: SparkSession, paths: Sequence[str], schema: str) ->
     return df, [p for p in paths if p not in there]
 
 
+def read_round_summaries(spark: SparkSession, path: str, schema: str, round_: str = "round") -> DataFrame:
+    """The summaries of a run in the order of their rounds; empty where none has been written."""
+    return read_jsonl_or_empty(spark, path, schema).orderBy(round_)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str, *required: str) -> DataFrame:
     """CSV with a header and with line breaks inside quoted fields; the required columns have to be in the header."""
     header = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
