@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from textloom.functions.stem import stem
+
 #: Characters of each text that the overlap is computed on.
 ROUGE_CHARS = 12_000
 
@@ -36,10 +39,8 @@ def lcs(a: list, b: list) -> int:
 
 
 def rouge_l(reference: str, candidate: str) -> float:
-    """ROUGE-L F over lower-cased alphanumeric tokens (no stemming)."""
-    import re
-
-    a, b = (re.findall(r"[a-z0-9]+", t.lower()) for t in (reference, candidate))
+    """ROUGE-L F over lower-cased alphanumeric tokens, those of more than three letters stemmed."""
+    a, b = ([stem(w) if len(w) > 3 else w for w in re.findall(r"[a-z0-9]+", t.lower())] for t in (reference, candidate))
     if not a or not b:
         return 0.0
     n = lcs(a, b)
