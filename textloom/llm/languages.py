@@ -5,7 +5,7 @@ language), everything else being a boundary or a letter of another script. A pro
 the trigrams around letters; a text's score in a language is the sum of their log probabilities, so that of a
 text in two languages the larger part decides.
 
-``learn`` fits the profiles on a sample of at most ``SAMPLE`` labelled rows, chosen by hash. Labels may be
+``learn`` fits the profiles on a sample of about ``SAMPLE`` labelled rows, chosen by hash. Labels may be
 wrong: after a first fit, rows that their own label doesn't win are left out and the profiles are fitted again.
 
 Defined results: null and blank labels and texts are left out; without any labelled row there are no profiles and
@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that profiles are fitted on at most.
+#: Labelled rows that profiles are fitted on (the expected number; rows are drawn by hash).
 SAMPLE = 2000
 #: By how much the log probability of a language has to lead (a factor of 1,000).
 LEAD = float(np.log(1000.0))
@@ -119,9 +119,10 @@ def fit(rows: list[tuple[str, str]]) -> Profiles:
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Profiles:
-    """Profiles from at most ``sample`` labelled rows, those of the smallest hashes."""
+    """Profiles from about ``sample`` labelled rows, those whose hash is below a share of all; of all rows where there are fewer."""
     usable = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    drawn = usable.orderBy(F.xxhash64("text"), "text", "lang").limit(sample).collect()
+    n = usable.count()
+    drawn = (usable if n <= sample else usable.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 30)) < F.lit(int(sample / n * (1 << 30))))).collect()
     rows = [(name, r.text) for r in drawn if (name := label_name(r.lang)) and r.text.strip()]
     first = fit(rows)
     scores, _ = first.scores([t for _, t in rows])
