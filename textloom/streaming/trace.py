@@ -73,19 +73,20 @@ def _last_batch(spark: SparkSession, path: str, number: int) -> str | None:
 def keep_ratchet(path: str, key: str, score: str, schema: str) -> Callable[[DataFrame, int], None]:
     """A batch function that appends, per key, the rows that are below everything seen before.
 
-    Beside each batch's rows the lowest score of every key so far is kept, so a batch reads one small table and not all batches.
+    Beside the folder of the rows, in ``<path>-lowest``, the lowest score of every key so far is kept, so a batch reads one
+    table and not all batches.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         names = [f.name for f in spark.createDataFrame([], schema).schema]
-        before = _last_batch(spark, f"{path}/lowest", number)
+        before = _last_batch(spark, f"{path}-lowest", number)
         lowest = spark.read.parquet(before) if before else batch.select(key, F.col(score).alias("_best")).limit(0)
         w = Window.partitionBy(key).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
         fresh = batch.join(lowest, key, "left").withColumn("_best", F.least("_best", F.min(score).over(w)))
         kept = fresh.where(F.col("_best").isNull() | (F.col(score) < F.col("_best"))).drop("_best")
         kept.select(*names).write.mode("overwrite").parquet(f"{path}/batch={number}")
         now = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(score).alias("_best")).unionByName(lowest)
-        now.groupBy(key).agg(F.min("_best").alias("_best")).write.mode("overwrite").parquet(f"{path}/lowest/batch={number}")
+        now.groupBy(key).agg(F.min("_best").alias("_best")).write.mode("overwrite").parquet(f"{path}-lowest/batch={number}")
 
     return each
