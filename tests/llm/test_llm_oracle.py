@@ -40,7 +40,7 @@ def p2_found(rows, duck):
     found = {r.rec_id for r in rows}
     assert found and len(found) == len(rows) and all(texts[i].strip() for i in found)
     ends = {i: t.rstrip()[-1:] for i, t in texts.items() if t}
-    assert not [i for i in found if ends[i] in "?!"] and {i for i, e in ends.items() if e in ",;:" or texts[i].rstrip().endswith((" the", " of", " and"))} <= found
+    assert not [i for i in found if ends[i] in "?!"] and {i for i, e in ends.items() if (e and e in ",;:") or texts[i].rstrip().endswith((" the", " of", " and"))} <= found
 
 
 def p2_rates(rows, duck):
