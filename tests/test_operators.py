@@ -1,8 +1,10 @@
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
@@ -187,6 +189,33 @@ def test_self_bleu(spark):
     assert got["g"] == pytest.approx(brute_bleu([re.findall(r"\w+", t) for t in texts])) and math.isnan(got["h"])
 
 
+@pytest.mark.parametrize("part_words,most_parts", [(3_000_000, 8), (400, 8), (24, 50), (24, 2), (1, 0)])
+def test_self_bleu_in_parts(spark, part_words, most_parts):
+    rng = np.random.default_rng(6)
+    texts = {g: [" ".join(rng.choice(list("abcdefgh"), size=rng.integers(0, 14))) for _ in range(n)] for g, n in (("g", 30), ("h", 9), ("i", 2), ("j", 1))}
+    rows = [(100 * k + i, t, g) for k, (g, ts) in enumerate(texts.items()) for i, t in enumerate(ts)]
+    df = spark.createDataFrame([*rows, (None, "a b c d e", "g"), (901, "a b", None), (902, "a b", None), (903, None, "h"), (904, "a b", "k"), (None, "a b", "k")], "id long, t string, g string").repartition(3)
+    got = {r.g: (r.n_docs, r.self_bleu) for r in bleu.self_bleu(df, "id", "t", "g", part_words, most_parts).collect()}
+    for g in "ghi":
+        assert got[g] == (len(texts[g]) + (g == "g"), pytest.approx(brute_bleu([t.split() for t in texts[g]])))
+    assert got["j"][0] == 1 and math.isnan(got["j"][1]) and got[None] == (2, None) and got["k"] == (2, None)
+
+
+def test_self_bleu_holds_little_at_once():
+    rng = np.random.default_rng(7)
+    words = rng.integers(-(2**62), 2**62, 5000)[rng.integers(0, 5000, (4000, 200))]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.full(4000, 5)), pa.array(np.arange(4000)), pa.FixedSizeListArray.from_arrays(pa.array(words.ravel()), 200).cast(pa.list_(pa.int64()))], names=["_b", "_key", "_w"])
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in bleu._gram_counts(iter([batch])))
+        assert rows > 3_000_000 and tracemalloc.get_traced_memory()[1] < 64e6  # all 4,000 documents at once took 273 MB
+        tracemalloc.reset_peak()
+        key = tuple(map(pa.scalar, (5, 1, 0)))
+        assert sum(b.num_rows for b in bleu._part_hits(key, iter([batch]))) == 4000 and tracemalloc.get_traced_memory()[1] < 150 * words.size
+    finally:
+        tracemalloc.stop()
+
+
 def test_rouge_and_penalty(spark):
     df = spark.createDataFrame([("the cat sat down", "the cat down"), ("a", ""), ("same text", "same text")], "a string, b string")
     got = [r.x for r in df.select(drift.rouge_l_drift("a", "b").alias("x")).collect()]
